@@ -26,17 +26,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{WHITE}+"), lambda w: w != "")
 
 
-def _repeat_words(keys: Column, n: Column) -> Column:
-    """Words in windows whose key occurs twice or more; keys has one entry for each window."""
+def _sorted_windows(keys: Column) -> Column:
+    """(key, position) in order, only where some key occurs twice; else null."""
     pairs = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), pairs)
+
+
+def _repeat_words(pairs: Column) -> Column:
+    """Words in windows whose key occurs twice or more. pairs must be a column, not an expression:
+    what a lambda holds is computed again for each element."""
     same = F.filter(
         pairs,
-        lambda p, j: ((j > 0) & (F.get(pairs, j - 1)["k"] == p["k"])) | (F.coalesce(F.get(pairs, j + 1)["k"] == p["k"], F.lit(False))),
+        lambda p, j: ((j > 0) & (F.get(pairs, j - 1)["k"] == p["k"])) | F.coalesce(F.get(pairs, j + 1)["k"] == p["k"], F.lit(False)),
     )
     at = F.sort_array(F.transform(same, lambda p: p["i"]))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW_WORDS).cast("int").alias("last"))
     step = lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW_WORDS), i - a["last"])).cast("long").alias("n"), i.alias("last"))
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0).cast("long")).otherwise(F.aggregate(at, zero, step, lambda a: a["n"]))
+    return F.coalesce(F.aggregate(at, zero, step, lambda a: a["n"]), F.lit(0).cast("long"))
 
 
 def base_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,14 +58,14 @@ def base_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
     )
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.withColumn("lines", lines)
+    d = d.withColumn("lines", lines).withColumn("pairs", _sorted_windows(F.col("keys")))
     return d.select(
         "doc_id", "text",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("keys"), F.size("w")).alias("n_repeat_words"),
+        _repeat_words(F.col("pairs")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
     ).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
