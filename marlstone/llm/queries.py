@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import load
-from . import bpe, quality, secret_scan, sharding, toxicity, url_filter
+from . import bpe, langid, quality, secret_scan, sharding, toxicity, url_filter
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(load(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(load(spark, sf_dir, "documents"))
 
@@ -33,5 +38,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_sharding, op5_url_filters, op6_quality_rules, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_sharding, op5_url_filters, op6_quality_rules, op8_language_id, op9_bpe, op10_toxicity)}
 ORACLE: dict[str, str] = {}
