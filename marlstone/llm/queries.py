@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import load
-from . import bpe, langid, quality, secret_scan, sharding, toxicity, url_filter
+from . import bpe, decontam, langid, quality, secret_scan, sharding, toxicity, url_filter
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(load(spark, sf_dir, "documents"), shards=40)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages"))
 
@@ -38,5 +42,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_sharding, op5_url_filters, op6_quality_rules, op8_language_id, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_sharding, op4_decontamination, op5_url_filters, op6_quality_rules, op8_language_id, op9_bpe, op10_toxicity)}
 ORACLE: dict[str, str] = {}
