@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import load
-from . import bpe, decontam, langid, quality, secret_scan, sharding, toxicity, url_filter
+from . import bpe, decontam, jaccard, langid, quality, secret_scan, sharding, toxicity, url_filter
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.findings(load(spark, sf_dir, "documents")))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(load(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(load(spark, sf_dir, "documents"), shards=40)
 
@@ -42,5 +46,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_sharding, op4_decontamination, op5_url_filters, op6_quality_rules, op8_language_id, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_jaccard_join, op3_sharding, op4_decontamination, op5_url_filters, op6_quality_rules, op8_language_id, op9_bpe, op10_toxicity)}
 ORACLE: dict[str, str] = {}
