@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import load
-from . import bpe, decontam, jaccard, langid, quality, secret_scan, sharding, toxicity, url_filter
+from . import bpe, decontam, jaccard, langid, license_scan, quality, secret_scan, sharding, toxicity, url_filter
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(load(spark, sf_dir, "documents"))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return license_scan.scan(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -46,5 +52,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_jaccard_join, op3_sharding, op4_decontamination, op5_url_filters, op6_quality_rules, op8_language_id, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_jaccard_join, op3_sharding, op4_decontamination, op5_url_filters, op6_quality_rules, op7_license_scans, op8_language_id, op9_bpe, op10_toxicity)}
 ORACLE: dict[str, str] = {}
