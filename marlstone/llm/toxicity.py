@@ -1,8 +1,9 @@
 """Toxicity from maximum-scoring segments of token log-odds.
 
 Training: on a bounded sample of labelled documents (TRAIN_ROWS, least hashes of the id first),
-each distinct text once, the documents that hold a token are counted by label. The log-odds of a
-token have an informative Dirichlet prior: PRIOR pseudo-documents spread like the whole sample.
+each text once and groups of near copies (equal least shingle) once, the documents that hold a token are counted by label. The log-odds of a
+token have an informative Dirichlet prior: pseudo-documents, PRIOR times as many as there are, spread
+like the whole sample.
 Tokens whose z-score is small count as neutral; every token also pays DRIFT, so that the mean over
 clean text is negative.
 
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging, map_arrow, small_batches, texts_of
+from .common import Staging, map_arrow, shingle_hashes, small_batches, texts_of, word_hashes
 
 #: Bounds of the fit: labelled rows, and tokens that keep a score of their own.
 TRAIN_ROWS, VOCABULARY = 16_000, 20_000
-PRIOR, DRIFT, LEAST_Z, THRESHOLD = 1000.0, 0.25, 4.0, 0.3
+PRIOR, DRIFT, LEAST_Z, THRESHOLD = 0.3, 0.25, 3.5, 0.3
 _EDGES = b".,;:!?\"'()[]{}<>*_-"
 
 
@@ -139,55 +140,80 @@ def sample(docs: DataFrame, labels: DataFrame, staging: Staging, id_col: str, te
     return staging.put(lean.join(F.broadcast(known), "_id").select("text", "y"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    spark = docs.sparkSession
-    small_batches(spark)
-    staging = Staging(spark)
-    rated = sample(docs, labels, staging, id_col, text_col, label_col, rows)
-    once = rated.groupBy("text").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen = {0.0: Counter(), 1.0: Counter()}
-        for text, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            seen[y].update(set(tokens(text)))
-            seen[y][b""] += 1  # documents
-        words = list(seen[0.0] | seen[1.0])
-        n = [pa.array([seen[y][w] for w in words], pa.int64()) for y in (0.0, 1.0)]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *n], ["w", "clean", "toxic"])
-
-    counts = map_arrow(once, count, "w binary, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = staging.put(counts)
+def _weigh(counts: DataFrame) -> Model | None:
+    """Token scores and lambda from (w, clean, toxic); None unless both labels occur."""
+    counts = counts.groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     docs_n = counts.where(F.length("w") == 0).select("clean", "toxic").first()
     if docs_n is None or not docs_n[0] or not docs_n[1]:
-        n0, n1 = docs_n or (0, 0)
-        return Model(bias=float(np.log((n1 + 0.5) / (n0 + 1.5 + 8 * (n0 + n1 == 0)))))
+        return None
     n0, n1 = docs_n
-    prior = PRIOR * (F.col("clean") + F.col("toxic")) / (n0 + n1)
-    odds = lambda y, n: F.log((F.col(y) + prior) / (n + PRIOR - F.col(y) - prior))
-    rated_words = counts.where((F.length("w") > 0) & (F.col("clean") + F.col("toxic") >= 3)).select(
+    whole = PRIOR * (n0 + n1)
+    prior = PRIOR * (F.col("clean") + F.col("toxic"))
+    odds = lambda y, n: F.log((F.col(y) + prior) / (n + whole - F.col(y) - prior))
+    words = counts.where((F.length("w") > 0) & (F.col("clean") + F.col("toxic") >= 3)).select(
         "w", "clean", (odds("toxic", n1) - odds("clean", n0)).alias("d"), F.sqrt(1 / (F.col("clean") + prior) + 1 / (F.col("toxic") + prior)).alias("sd")
     )
-    rated_words = rated_words.withColumn("z", F.col("d") / F.col("sd"))
-    best = rated_words.where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "w").limit(VOCABULARY).collect()
+    z = F.abs(F.col("d") / F.col("sd"))
+    best = words.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "w").limit(VOCABULARY).collect()
     total = counts.where(F.length("w") > 0).agg(F.sum("clean")).first()[0] or 1
     model = Model(scores={bytes(r["w"]): r["d"] - DRIFT for r in best})
     model.lam = _fit_lambda(model.scores, {bytes(r["w"]): r["clean"] for r in best}, total)
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
+    """Scores from the whole sample; statistics and chances from halves that score each other."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    staging = Staging(spark)
+    rated = sample(docs, labels, staging, id_col, text_col, label_col, rows)
+
+    def least_shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        shingles = [shingle_hashes(word_hashes(t), 5) for t in texts_of(batch.column(0))]
+        key = [int(x.min().view(np.int64)) if len(x) else None for x in shingles]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.int64())], ["text", "y", "key"])
+
+    # copies and most near copies share their least shingle: a group of them counts as one document
+    keyed = map_arrow(rated, least_shingle, "text string, y double, key long")
+    once = keyed.groupBy("key").agg(F.min("text").alias("text"), (F.avg("y") >= 0.5).cast("double").alias("y")).drop("key")
+    once = staging.put(once.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")))
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        seen: dict[tuple[bytes, int], list[int]] = {}
+        for text, y, half in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for w in {*tokens(text), b""}:  # the empty one counts documents
+                seen.setdefault((w, half), [0, 0])[int(y)] += 1
+        cols = [pa.array([k[0] for k in seen], pa.binary()), pa.array([k[1] for k in seen], pa.int32())]
+        cols += [pa.array([v[y] for v in seen.values()], pa.int64()) for y in (0, 1)]
+        return pa.RecordBatch.from_arrays(cols, ["w", "half", "clean", "toxic"])
+
+    each = map_arrow(once, count, "w binary, half int, clean long, toxic long")
+    counts = staging.put(each.groupBy("w", "half").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    model = _weigh(counts)
+    if model is None:
+        n = {r[0]: r[1] for r in rated.groupBy("y").count().collect()}
+        clean, toxic = n.get(0.0, 0), n.get(1.0, 0)
+        return Model(bias=float(np.log((toxic + 0.5) / (clean + (8.5 if not n else 0.5)))))
+    halves = [_weigh(counts.where(F.col("half") != h)) or model for h in (0, 1)]
 
     def tops(batch: pa.RecordBatch) -> pa.RecordBatch:
         top, n = [], []
-        for text in texts_of(batch.column(0)):
-            found, size = model.segments(text)
-            top.append(max((s for s, _, _ in found), default=0.0))
+        for text, half in zip(texts_of(batch.column(0)), batch.column(2).to_pylist(), strict=True):
+            found, size = halves[half].segments(text)
+            top.append(halves[half].lam * max((s for s, _, _ in found), default=0.0))
             n.append(size)
-        return pa.RecordBatch.from_arrays([pa.array(top), pa.array(n, pa.int64()), batch.column(1)], ["top", "n", "y"])
+        return pa.RecordBatch.from_arrays([pa.array(top), pa.array(n, pa.int64()), batch.column(1), batch.column(2)], ["top", "n", "y", "half"])
 
-    maxima = map_arrow(once, tops, "top double, n long, y double").where("y = 0 and n > 0")
+    maxima = map_arrow(once, tops, "top double, n long, y double, half int").where("y = 0 and n > 0")
     # an extreme-value law has mean (ln K n + 0.5772) / lambda
-    mean = maxima.agg(F.avg(F.lit(model.lam) * F.col("top") - F.log("n"))).first()[0]
-    model.log_k = float(max(mean - 0.5772, -8.0))
+    mean = {r[0]: r[1] for r in maxima.groupBy("half").agg(F.avg(F.col("top") - F.log("n"))).collect()}
+    for h, m in enumerate(halves):
+        m.log_k = float(max(mean.get(h, 0.0) - 0.5772, -8.0))
+    model.log_k = float(np.mean([m.log_k for m in halves]))
 
     def excesses(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([model.significant(t)[1] for t in texts_of(batch.column(0))]), batch.column(1)], ["x", "y"])
+        x = [halves[h].significant(t)[1] for t, h in zip(texts_of(batch.column(0)), batch.column(2).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x), batch.column(1)], ["x", "y"])
 
     found = map_arrow(once, excesses, "x double, y double").collect()  # at most `rows` pairs
     x, y = np.log1p(np.array([r[0] for r in found])), np.array([r[1] for r in found])
