@@ -1,10 +1,8 @@
-"""Queries over the reference tables, each with the SQL that gives the same rows."""
+"""All queries over the tables of the relational and text engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import functional, relational, textual  # noqa: F401  (they register their queries)
+from .registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
