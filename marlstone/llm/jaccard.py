@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Staging, components, map_arrow, mix, shingle_hashes, small_batches, texts_of, word_hashes
 
 REGION = np.uint64(1 << 62)  # the quarter of all hashes that is ranked by counts
-PARITY_BITS, BLOOM_BITS, KEPT, BLOCK = 512, 128, 16, 512
+PARITY_BITS, BLOOM_BITS, KEPT, BLOCK = 2048, 128, 16, 1024
 _ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
