@@ -99,26 +99,38 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
 def components(spark: SparkSession, edges: DataFrame, staging: Staging, most: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node reachable.
 
-    Each round takes the smallest label of the neighbours, then follows labels of labels,
-    so chains shrink geometrically. Sums are partial before the shuffle, and a node with
-    very many edges is split by the adaptive join.
+    Each round hooks every node to its smallest neighbour, follows hooks twice, and replaces the
+    ends of edges by what they hook to; edges within a tree vanish and equal ones become one, so a
+    dense group is a single node after the first round and chains shrink geometrically. The hooks
+    of all rounds are then followed from the last to the first. Neighbours are reduced by partial
+    aggregates; a node with very many edges is split by the adaptive join.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = staging.put(both.where("a <> b").distinct())
-    edge_no = staging.n
-    labels = staging.put(
-        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-    )
+    rounds: list[DataFrame] = []
+    left = edges.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).where("a <> b").distinct()
     for _ in range(most):
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        low = labels.join(near, "node", "left").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        new = staging.put(
-            low.join(up, "root", "left").select("node", "was", F.least(F.col("root"), F.coalesce("top", "root")).alias("root"))
-        )
-        staging.drop(staging.n - 1)
-        labels = new.select("node", "root")
-        if new.where("was <> root").isEmpty():
-            staging.drop(edge_no)
-            return labels
-    raise RuntimeError(f"no fixed point after {most} rounds")
+        left = staging.put(left)
+        if left.isEmpty():
+            break
+        ends = left.select(F.col("p").alias("node"), F.col("q").alias("m")).union(left.select("q", "p"))
+        hooks = staging.put(ends.groupBy("node").agg(F.min("m").alias("m")).select("node", F.least("node", "m").alias("to")))
+        for _ in range(2):
+            then = hooks.select(F.col("node").alias("to"), F.col("to").alias("then"))
+            hooks = staging.put(hooks.join(then, "to").select("node", F.col("then").alias("to")))
+        rounds.append(hooks)
+        ps = hooks.select(F.col("node").alias("p"), F.col("to").alias("p2"))
+        qs = hooks.select(F.col("node").alias("q"), F.col("to").alias("q2"))
+        moved = left.join(ps, "p").select("q", "p2").join(qs, "q")
+        left = moved.select(F.least("p2", "q2").alias("p"), F.greatest("p2", "q2").alias("q")).where("p <> q").distinct()
+    else:
+        raise RuntimeError(f"no fixed point after {most} rounds")
+    roots = None
+    for hooks in reversed(rounds):
+        now = hooks.select("node", F.col("to").alias("mid"))
+        if roots is None:
+            roots = now.select("node", F.col("mid").alias("root"))
+        else:
+            up = roots.select(F.col("node").alias("mid"), "root")
+            roots = now.join(up, "mid", "left").select("node", F.coalesce("root", "mid").alias("root"))
+    if roots is None:
+        return spark.createDataFrame([], "node long, root long")
+    return staging.put(roots)

@@ -5,8 +5,8 @@ shingles, two sets that link share a shingle among the first n - ceil(t n) + 1 o
 order of all shingles. Candidates must pass that test under three orders:
 
 1. The first order ranks by how many classes hold a shingle, rare ones first, counted exactly for
-   the quarter of all shingles with the least hashes; the rest follow by hash, and are looked at
-   only where a small set has too few of the former. Shingles of one class only never join, and
+   the shingles with the least hashes (a quarter of all at 0.9); the rest follow by hash, and are
+   looked at only where a small set has too few of the former. Shingles of one class only never join, and
    common passages stand at the end, so joined lists stay short.
 2. and 3. rank by two other hashes. Their first shingles travel as small bit sets; two disjoint ones
    rule a pair out.
@@ -35,6 +35,8 @@ from .common import Staging, components, map_arrow, mix, shingle_hashes, small_b
 
 REGION = np.uint64(1 << 62)  # the quarter of all hashes that is ranked by counts
 PARITY_BITS, BLOOM_BITS, KEPT, BLOCK = 2048, 128, 16, 1024
+#: Bound of the broadcast that picks the texts to verify: that many hash values of ids.
+SLOTS = 1 << 20
 _ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
@@ -187,28 +189,35 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, staging: Staging, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs whose whole sets link."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    lean = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
+def _verified(docs: DataFrame, pairs: DataFrame, copies: DataFrame, staging: Staging, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs whose whole sets link, with the number of copies of each side.
+
+    Texts are picked by hash values of ids, at most SLOTS of them and so safe to broadcast, rather
+    than by a join that would move all texts; a text picked by chance meets no pair.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")
+    slots = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).select(slot).distinct()
+    lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
+    lean = lean.select("id", "text", slot).join(F.broadcast(slots), "slot", "left_semi").select("id", "text")
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingle_hashes(word_hashes(t or b""), k)).tobytes() for t in texts_of(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
-    sets = staging.put(map_arrow(lean, whole, "id long, set binary"))
+    sets = map_arrow(lean, whole, "id long, set binary").join(copies, "id")
+    sets = staging.put(sets)
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
             p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True))
             keep.append(100 * both >= percent * (len(p) + len(q) - both))
-        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        return batch.select(["a", "b", "of_a", "of_b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    return map_arrow(two, check, "a long, b long").distinct()
+    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x"), F.col("copies").alias("of_a")), "a")
+    two = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y"), F.col("copies").alias("of_b")), "b")
+    return map_arrow(two.select("a", "b", "of_a", "of_b", "x", "y"), check, "a long, b long, of_a long, of_b long").distinct()
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -230,11 +239,11 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id",
     staging.drop(3)
     pairs = staging.put(_candidates(_blocks(prefixes, block), percent))
     staging.drop(4)
-    links = staging.put(_verified(docs, pairs, staging, k, percent, id_col, text_col))
-    roots = components(spark, links, staging)
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = classes.select(F.col("rep").alias("b"), "copies")
-    near = both.join(sizes, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("near"))
+    copies = classes.select(F.col("rep").alias("id"), "copies")
+    links = staging.put(_verified(docs, pairs, copies, staging, k, percent, id_col, text_col))
+    roots = components(spark, links.select("a", "b"), staging)
+    near = links.select(F.col("a").alias("rep"), F.col("of_b").alias("n")).union(links.select("b", "of_a"))
+    near = near.groupBy("rep").agg(F.sum("n").alias("near"))
     known = classes.join(roots, classes.rep == roots.node, "left").join(near, "rep", "left")
     known = known.select("sign", "rep", F.coalesce("root", "rep").alias("root"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
     full = lean.where("n > 0").join(known, "sign")
