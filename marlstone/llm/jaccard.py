@@ -33,13 +33,17 @@ from pyspark.sql import functions as F
 
 from .common import Staging, components, map_arrow, mix, shingle_hashes, small_batches, texts_of, word_hashes
 
-REGION = np.uint64(1 << 62)  # the quarter of all hashes that is ranked by counts
 PARITY_BITS, BLOOM_BITS, KEPT, BLOCK = 2048, 128, 16, 1024
 #: Bound of the broadcast that picks the texts to verify: that many hash values of ids.
 SLOTS = 1 << 20
 _ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
+def region_end(percent: int) -> np.uint64:
+    """Hashes below it are ranked by counts: a share of all that is larger than any prefix's."""
+    return np.uint64(int((0.15 + 1 - percent / 100) * 2**64)) if percent > 15 else np.uint64(2**64 - 1)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -50,7 +54,7 @@ def summary(hashes: np.ndarray, percent: int) -> tuple:
     p = prefix_length(n, percent)
     with np.errstate(over="ignore"):
         sign = np.array([mix(hashes).sum(dtype=np.uint64), mix(hashes ^ _ORDERS[0]).sum(dtype=np.uint64), n], dtype=np.uint64)
-    inside = hashes[hashes < REGION]  # hashes are sorted
+    inside = hashes[hashes < region_end(percent)]  # hashes are sorted
     outer = hashes[len(inside) : max(p, len(inside))]
     parity = np.packbits(np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1)
     blooms = []
