@@ -51,20 +51,19 @@ def _lengthened(rule: Rule) -> str:
 def spans_of(text: Column, rule: Rule, kind_no: int) -> Column:
     """Array of spans of one rule: pieces between matches give the offsets of matches."""
     pattern = _lengthened(rule)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
-    gaps = F.split(text, pattern, -1)
+    every = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    # one array, the input of the aggregate, so that each pattern runs over the text once for all matches
+    parts = F.arrays_zip(every(0), every(rule.group), F.split(text, pattern, -1))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(a: Column, i: Column) -> Column:
-        start = a["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(hits, i))
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + F.length(x["2"])
+        end = start + F.length(x["0"])
         one = F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("end"))
-        out = F.when(F.length(F.get(group, i)) >= rule.least, F.concat(a["out"], F.array(one))).otherwise(a["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        out = F.when(F.length(x["1"]) >= rule.least, F.concat(a["out"], F.array(one))).otherwise(a["out"])
+        return F.struct(F.coalesce(end, a["at"]).alias("at"), out.alias("out"))  # the last gap has no match
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step, lambda a: a["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), F.aggregate(parts, zero, step, lambda a: a["out"])).otherwise(F.array().cast(SPAN))
 
 
 def blob_of(text: Column) -> Column:
