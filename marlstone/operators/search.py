@@ -178,16 +178,16 @@ def spans(text: Column, query: Query) -> Column:
     def of(s: int, item: Item) -> Column:
         pattern = "|".join(r"[^a-z']+".join(map(re.escape, p)) for p in sorted(item.phrases, key=len, reverse=True))
         pattern = f"(?<![a-z'])(?:{pattern})(?![a-z'])"
-        hits, gaps = F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), F.split(low, pattern, -1)
+        parts = F.arrays_zip(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), F.split(low, pattern, -1))
         zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-        def step(a: Column, i: Column) -> Column:
-            start, size = a["at"] + F.length(F.get(gaps, i)), F.length(F.get(hits, i))
+        def step(a: Column, x: Column) -> Column:
+            start, size = a["at"] + F.length(x["1"]), F.length(x["0"])
             one = F.struct(F.lit(s).alias("set"), start.alias("start"), size.alias("length"))
-            return F.struct((start + size).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+            out = F.when(size.isNotNull(), F.concat(a["out"], F.array(one))).otherwise(a["out"])
+            return F.struct(F.coalesce(start + size, a["at"]).alias("at"), out.alias("out"))
 
-        every = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step, lambda a: a["out"])
-        return F.when(low.rlike(pattern), every).otherwise(F.array().cast(kind))
+        return F.when(low.rlike(pattern), F.aggregate(parts, zero, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
 
     found = [of(s, item) for s, item in enumerate(query.items) if not item.negated]
     return F.array_sort(F.concat(*found), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(a["set"] - b["set"]))
