@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 28
@@ -61,3 +61,16 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     p, q = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((q - p) / 2), 2) + F.cos(p) * F.cos(q) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return F.lit(2 * 6371008.8) * F.asin(F.sqrt(h))
+
+
+def region_join(points: DataFrame, regions: DataFrame, step: float = 10.0) -> DataFrame:
+    """Points (lat, lon, ...) with the regions (south, west, north, east, ...) that hold them.
+
+    A region is spread over the square cells it touches, a point has one cell; the join is on cells,
+    and coordinates decide. step should be near the usual size of a region.
+    """
+    cell = lambda c: F.floor(F.col(c) / step).cast("int")
+    p = points.withColumn("_y", cell("lat")).withColumn("_x", cell("lon"))
+    r = regions.withColumn("_y", F.explode(F.sequence(cell("south"), cell("north")))).withColumn("_x", F.explode(F.sequence(cell("west"), cell("east"))))
+    inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
+    return p.join(r, ["_y", "_x"]).where(inside).drop("_y", "_x")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, dates, geo, jsons, lists, net, numbers, text, vectors
@@ -80,32 +80,32 @@ def json_group(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").where(k.cast("int") < 50).groupBy(k.alias("k")).agg(F.count("*").alias("n"))
 
 
-_FIRST = "regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z]+')"
+_ALL = "regexp_extract_all(lower(text), '[a-z]+')"
 
 
-def _first_words(spark: SparkSession, d: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower(F.substring_index("text", "\n", 1)), F.lit("[a-z]+"), F.lit(0))
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     return load(spark, d, "documents").select("doc_id", words.alias("x"))
 
 
-@query(f"SELECT doc_id FROM documents WHERE list_contains({_FIRST}, 'that')")
+@query(f"SELECT doc_id FROM documents WHERE list_contains({_ALL}, 'that')")
 def list_member(spark: SparkSession, d: str) -> DataFrame:
-    return _first_words(spark, d).where(lists.member(F.lit("that"), F.col("x"))).select("doc_id")
+    return _words(spark, d).where(lists.member(F.lit("that"), F.col("x"))).select("doc_id")
 
 
-@query(f"SELECT doc_id FROM documents WHERE list_has_all(['the', 'of', 'and', 'a', 'in', 'is', 'that', 'to', 'on', 'or'], {_FIRST})")
+@query(f"SELECT doc_id FROM documents WHERE list_has_all(['the', 'of', 'and', 'a', 'in', 'is', 'that', 'to', 'on', 'or'], {_ALL})")
 def list_subset(spark: SparkSession, d: str) -> DataFrame:
-    return _first_words(spark, d).where(lists.subset(F.col("x"), "the of and a in is that to on or".split())).select("doc_id")
+    return _words(spark, d).where(lists.subset(F.col("x"), "the of and a in is that to on or".split())).select("doc_id")
 
 
-@query(f"SELECT w, count(*) AS n FROM (SELECT unnest({_FIRST}) AS w FROM documents) GROUP BY w")
+@query(f"SELECT w, count(*) AS n FROM (SELECT unnest({_ALL}) AS w FROM documents) GROUP BY w")
 def list_explode_group(spark: SparkSession, d: str) -> DataFrame:
-    return _first_words(spark, d).select(F.explode("x").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return _words(spark, d).select(F.explode("x").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id FROM documents WHERE len(list_filter({_FIRST}, lambda w: w LIKE 'th%ing')) > 0")
+@query(f"SELECT doc_id FROM documents WHERE len(list_filter({_ALL}, lambda w: w LIKE 'th%ing')) > 0")
 def list_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _first_words(spark, d).where(lists.matches(F.col("x"), "th%ing", is_list=True)).select("doc_id")
+    return _words(spark, d).where(lists.matches(F.col("x"), "th%ing", is_list=True)).select("doc_id")
 
 
 @query("SELECT vec_id, round(embedding[1] + embedding[2], 5) AS two, 0.0 AS padded FROM embeddings")
@@ -199,3 +199,45 @@ def json_updates(spark: SparkSession, d: str) -> DataFrame:
         "event_id", jsons.json_merge_patch(p, F.lit('{"k":null,"seen":true}')).alias("patched"), jsons.json_merge_preserve(p, F.lit('{"k":0}')).alias("kept"),
         jsons.json_modify(p, "$.tag", F.lit("x")).alias("tagged"),
     )
+
+
+@query("""WITH p AS (SELECT c_custkey, c_custkey % 180 - 90 + 0.25 AS lat, (c_custkey * 7) % 360 - 180 + 0.25 AS lon FROM customer),
+r AS (SELECT n_nationkey, n_nationkey * 7 - 90 AS south, n_nationkey * 13 - 180 AS west, n_nationkey * 7 - 70 AS north, n_nationkey * 13 - 150 AS east FROM nation)
+SELECT c_custkey, n_nationkey FROM p JOIN r ON lat BETWEEN south AND north AND lon BETWEEN west AND east""")
+def geo_region_join(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("c_custkey"), F.col("n_nationkey")
+    p = load(spark, d, "customer").select("c_custkey", (k % 180 - 90 + 0.25).alias("lat"), ((k * 7) % 360 - 180 + 0.25).alias("lon"))
+    r = load(spark, d, "nation").select("n_nationkey", (n * 7 - 90).alias("south"), (n * 13 - 180).alias("west"), (n * 7 - 70).alias("north"), (n * 13 - 150).alias("east"))
+    return geo.region_join(p, r).select("c_custkey", "n_nationkey")
+
+
+@query("SELECT p_partkey, easter::DATE AS easter, julian::INT AS julian FROM (SELECT p_partkey, DATE '2024-03-31' AS easter, 2440588 + date_diff('day', DATE '1970-01-01', DATE '2024-03-31') AS julian FROM part)")
+def calendar(spark: SparkSession, d: str) -> DataFrame:
+    day = dates.easter(F.lit(2024))
+    return load(spark, d, "part").select("p_partkey", day.alias("easter"), dates.julian_day(day).alias("julian"))
+
+
+@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS place FROM part ORDER BY 3 LIMIT 50")
+def collated_order(spark: SparkSession, d: str) -> DataFrame:
+    """Order without regard to case."""
+    top = load(spark, d, "part").select("p_partkey", "p_name").orderBy(F.collate("p_name", "UTF8_LCASE"), "p_partkey").limit(50)
+    w = Window.orderBy(F.lower("p_name"), "p_partkey")  # 50 rows
+    return top.select("p_partkey", "p_name", F.row_number().over(w).alias("place"))
+
+
+@query()
+def generated_values(spark: SparkSession, d: str) -> DataFrame:
+    """A unique id, a bounded random number and the hash of a name for each nation."""
+    return load(spark, d, "nation").select("n_nationkey", F.uuid().alias("id"), numbers.random_between(1, 6, seed=1).alias("die"), text.hash64(F.col("n_name")).alias("hash"))
+
+
+@query()
+def approximate_match(spark: SparkSession, d: str) -> DataFrame:
+    close = text.approximate(F.col("p_type"), "standrad", 80)
+    return load(spark, d, "part").select("p_partkey", close.alias("percent")).where("percent is not null")
+
+
+@query("SELECT page_id, CASE WHEN contains(url, '/en/') THEN false ELSE true END AS allowed FROM pages")
+def robots(spark: SparkSession, d: str) -> DataFrame:
+    rules = F.lit("User-agent: *\nDisallow: /en/\n")
+    return load(spark, d, "pages").select("page_id", text.robots_allowed("bot", rules, F.col("url")).alias("allowed"))

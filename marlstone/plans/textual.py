@@ -89,11 +89,10 @@ def hit_spans(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", s.alias("s")).where(F.size("s") > 0).select("doc_id", F.to_json("s").alias("spans"), F.size("s").alias("n_hits"))
 
 
-@query(f"""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z'']+')[1:4]) AS ws FROM benchmark),
+@query(f"""WITH q AS (SELECT item_id, list_distinct({_WORDS}) AS ws FROM benchmark),
 d AS (SELECT doc_id, list_distinct({_WORDS}) AS ws FROM documents) SELECT item_id, doc_id FROM q, d WHERE len(q.ws) > 0 AND list_has_all(d.ws, q.ws)""")
 def text_join(spark: SparkSession, d: str) -> DataFrame:
-    heads = F.array_join(F.slice(search.tokens(F.col("text")), 1, 4), " ")
-    q = load(spark, d, "benchmark").select("item_id", heads.alias("q"))
+    q = load(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
     return search.text_join(_docs(spark, d), "doc_id", "text", q, "item_id", "q")
 
 
@@ -138,3 +137,17 @@ def session_users(spark: SparkSession, d: str) -> DataFrame:
 def sequence_numbers(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return load(spark, d, "events").select("event_id", F.row_number().over(w).alias("seq"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(concat(' ', array_to_string(regexp_extract_all(lower(concat_ws(' ', lang, text)), '[a-z'']+'), ' '), ' '), ' fr licensed ') OR (lang = 'en' AND contains({_FLAT}, ' scum '))")
+def virtual_field(spark: SparkSession, d: str) -> DataFrame:
+    """Two columns searched as one text."""
+    both = F.concat_ws(" ", "lang", "text")
+    docs = load(spark, d, "documents").select("doc_id", "lang", "text")
+    hit = search.match_scan(both, search.parse('"fr licensed"')) | ((F.col("lang") == "en") & search.match_scan(F.col("text"), search.parse("scum")))
+    return docs.where(hit).select("doc_id")
+
+
+@query()
+def text_within(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).where(search.match_scan(F.col("text"), search.parse("apache version w/4"))).select("doc_id")
