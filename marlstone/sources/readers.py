@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import email
-import email.policy
 import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from email import message_from_bytes
+from email.message import EmailMessage
+from email.policy import default as default_policy
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -59,8 +60,12 @@ def with_file_text(rows: DataFrame, path_column: str, folder: str, as_column: st
     return rows.join(text.withColumn("_p", key), F.col(path_column) == F.col("_p"), "left").drop("_p")
 
 
+def parse_mail(raw: bytes) -> EmailMessage:
+    return message_from_bytes(raw, policy=default_policy)
+
+
 def _mail(raw: bytes) -> dict[str, str | None]:
-    m = email.message_from_bytes(raw, policy=email.policy.default)
+    m = parse_mail(raw)
     body = m.get_body(preferencelist=("plain", "html"))
     return {k: str(m[k]) if m[k] else None for k in ("date", "from", "to", "subject", "keywords")} | {"body": body.get_content().strip() if body else None}
 
@@ -88,8 +93,7 @@ def mime_parts(content: Column) -> Column:
         def one(raw: bytes | None) -> list[dict] | None:
             if raw is None:
                 return None
-            m = email.message_from_bytes(bytes(raw), policy=email.policy.default)
-            leaves = [p for p in m.walk() if not p.is_multipart()]
+            leaves = [p for p in parse_mail(bytes(raw)).walk() if not p.is_multipart()]
             return [{"kind": p.get_content_type(), "name": p.get_filename(), "text": p.get_content() if p.get_content_maintype() == "text" else None} for p in leaves]
 
         return s.map(one)
