@@ -81,8 +81,8 @@ def rules() -> dict[str, Column]:
         "symbols": 10 * F.col("n_symbols") > n,
         "dup_lines": 10 * F.col("n_dup_lines") > 3 * F.greatest(F.col("n_lines"), F.lit(1)),
         "letters": 2 * letters < F.col("word_chars"),
-        "bullets": 10 * F.regexp_count("text", F.lit(r"(?m)^[\x20\x09]*[-*•]")) > 9 * F.greatest(F.col("n_lines"), F.lit(1)),
-        "ellipses": 10 * F.regexp_count("text", F.lit(r"(?m)(?:\.\.\.|…)[\x20\x09]*$")) > 3 * F.greatest(F.col("n_lines"), F.lit(1)),
+        "bullets": 10 * F.regexp_count("text", F.lit(r"(?md)^[\x20\x09]*[-*•]")) > 9 * F.greatest(F.col("n_lines"), F.lit(1)),
+        "ellipses": 10 * F.regexp_count("text", F.lit(r"(?md)(?:\.\.\.|…)[\x20\x09]*$")) > 3 * F.greatest(F.col("n_lines"), F.lit(1)),
     }
 
 
@@ -112,8 +112,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """Base figures, base_failed, kept and the first failed rule of each document."""
     figures = base_figures(docs, id_col, text_col)
     found = rules()
-    # the rows with the least hash of the text: the same sample on every run
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).orderBy(F.xxhash64("text")).limit(sample_rows)
+    # the rows with the least hash: the same sample on every run; the first pass moves hashes only
+    lean = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col, id_col).alias("h"))
+    last = lean.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    cut = lean.where(F.col("h") <= F.lit(last)).drop("h").limit(sample_rows)
     order = order_rules(Staging(docs.sparkSession).put(base_figures(cut)), found)
     verdict = F.when(F.col("base_failed"), F.lit("base"))
     for name in order:
