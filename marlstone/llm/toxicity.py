@@ -4,7 +4,7 @@ Training: on a bounded sample of labelled documents (TRAIN_ROWS, least hashes of
 each text once and groups of near copies (equal least shingle) once, the documents that hold a token are counted by label. The log-odds of a
 token have an informative Dirichlet prior: pseudo-documents, PRIOR times as many as there are, spread
 like the whole sample.
-Tokens whose z-score is small, or whose odds are toxic but weak, count as neutral; every token also pays DRIFT, so that the mean over
+Tokens whose z-score is small count as neutral, at any mix of labels; every token also pays DRIFT, so that the mean over
 clean text is negative.
 
 Scoring: a linear scan finds all maximal scoring segments of the whole text. A segment of score S in
@@ -32,7 +32,7 @@ from .common import Staging, map_arrow, shingle_hashes, small_batches, texts_of,
 
 #: Bounds of the fit: labelled rows, and tokens that keep a score of their own.
 TRAIN_ROWS, VOCABULARY = 16_000, 20_000
-PRIOR, DRIFT, LEAST_Z, LEAST_ODDS, THRESHOLD = 0.3, 0.25, 3.5, 2.0, 0.3
+PRIOR, DRIFT, LEAST_Z, THRESHOLD = 0.3, 0.25, 3.5, 0.3
 _EDGES = b".,;:!?\"'()[]{}<>*_-"
 
 
@@ -154,9 +154,8 @@ def _weigh(counts: DataFrame) -> Model | None:
         "w", "clean", (odds("toxic", n1) - odds("clean", n0)).alias("d"), F.sqrt(1 / (F.col("clean") + prior) + 1 / (F.col("toxic") + prior)).alias("sd")
     )
     z = F.abs(F.col("d") / F.col("sd"))
-    # with this prior, odds of 2 need about five in six of a token's documents to be toxic, at any size
-    telling = (F.col("z") >= LEAST_Z) & ((F.col("d") >= LEAST_ODDS) | (F.col("d") < 0))
-    best = words.withColumn("z", z).where(telling).orderBy(F.col("z").desc(), "w").limit(VOCABULARY).collect()
+    # no least odds: the prior caps the odds of a rare token, and that cap falls as more labels are toxic
+    best = words.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "w").limit(VOCABULARY).collect()
     total = counts.where(F.length("w") > 0).agg(F.sum("clean")).first()[0] or 1
     model = Model(scores={bytes(r["w"]): r["d"] - DRIFT for r in best})
     model.lam = _fit_lambda(model.scores, {bytes(r["w"]): r["clean"] for r in best}, total)

@@ -336,6 +336,26 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in empty.collect()} == {0}
 
 
+@pytest.mark.parametrize(("percent", "n_bad"), [(5, 12), (20, 16), (35, 28), (50, 20)])
+def test_toxic_tokens_tell_at_any_share_of_toxic_labels(spark, percent, n_bad):
+    rng = np.random.default_rng(6)
+    rows, labels, bad = [], [], 0
+    for i in range(800):
+        w = [f"p{rng.integers(0, 300)}" for _ in range(60)]
+        toxic = i * percent % 100 < percent
+        if toxic:
+            for at in rng.choice(60, 5, replace=False):
+                w[at] = f"bad{bad % n_bad}"
+                bad += 1
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    assert {f"bad{x}".encode() for x in range(n_bad)} <= {w for w, s in model.scores.items() if s > 0}
+    held = [r for r in toxicity.score(docs, model).collect() if r["held_out"]]
+    assert sum(r["predicted"] == labels[r["doc_id"]][1] for r in held) >= 0.95 * len(held)
+
+
 def test_shingles():
     assert len(shingle_hashes(word_hashes(b"a b c d"), 3)) == 2 and len(shingle_hashes(word_hashes(b"a"), 3)) == 1 and len(shingle_hashes(word_hashes(b""), 3)) == 0
     assert shingle_hashes(word_hashes(b"A b C"), 3) == shingle_hashes(word_hashes(b"a\x0bB\x0cc"), 3)
