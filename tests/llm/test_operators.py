@@ -242,6 +242,24 @@ def test_licences_and_inheritance(spark):
     ]
 
 
+def test_wrapped_headers_and_whole_licences():
+    header = "/*\n * foo.c - does things\n * Copyright (C) 2020 A. Body\n *\n * This program is free software{} you can redistribute it and/or modify\n * it under the terms of the GNU {} Public License as published by\n"
+    header += " * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version.\n */\nint main(void) {{ return 0; }}\n"
+    whole = license_scan.whole_licences()
+    one, many = license_scan.Matcher(), license_scan.Matcher(whole, damped=True)
+    of = lambda t: one.scan(t, many)[0]
+    assert [of(header.format(*x)) for x in ((":", "General", 3), (";", "General", 2), (":", "Affero General", 3), (";", "Lesser General", 2.1))] == ["gpl-3.0", "gpl-2.0", "agpl-3.0", "lgpl-2.1"]
+    assert of("# This Source Code Form is subject to the terms of the Mozilla\n# Public License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, get one.\nimport os\n") == "mpl-2.0"
+    assert of("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n") == "gpl-3.0"
+    for name, (text,) in whole.items():
+        found, cosine, share = one.scan(text.replace("\n", "\r\n") + "\nan added line of our own\n", many)
+        assert (found, share) == (name, 1.0) and cosine >= 0.9
+    prose = "the program and the terms of it are free for you and any other person to use or to copy, but a license is not here " * 30
+    assert one.scan(prose, many)[0] is None and one.scan("x\n" * 50 + "nothing wrapped", many) == (None, 0.0, 0.0)
+    pieces = ["foo does", "Licensed under the", "Apache License,", "Version 2.0"]
+    assert [(n, round(c, 9)) for n, c in one.tails(pieces)] == [(n, round(c, 9)) for n, c in (one.nearest(" ".join(pieces[i:])) for i in range(4))]
+
+
 # language ID
 def test_language_id(spark):
     en, fr = "the house that was there and with this thing", "la maison qui était là avec cette chose et les gens"
