@@ -291,7 +291,8 @@ def suggest(words: DataFrame, vocabulary: DataFrame, most: int = 2) -> DataFrame
     """(word, suggestion, edits): the most frequent vocabulary (term, df) word within `most` edits.
 
     Both sides are spread over their forms with up to `most` letters left out, so that only words
-    that share one meet; the edit distance then decides.
+    that share one meet; the edit distance then decides. Vocabulary words whose length is further
+    than `most` from that of every word can't be suggested and are not spread.
     """
 
     def forms(c: Column) -> Column:
@@ -305,7 +306,9 @@ def suggest(words: DataFrame, vocabulary: DataFrame, most: int = 2) -> DataFrame
         return F.explode(F.array_distinct(out))
 
     a = words.select("word").distinct().select("word", forms(F.col("word")).alias("form"))
-    b = vocabulary.select("term", "df", forms(F.col("term")).alias("form"))
+    lengths = words.select(F.explode(F.sequence(F.length("word") - most, F.length("word") + most)).alias("n")).distinct()
+    near = vocabulary.join(F.broadcast(lengths), F.length("term") == F.col("n"), "left_semi")
+    b = near.select("term", "df", forms(F.col("term")).alias("form"))
     edits = F.levenshtein("word", "term")
     pairs = a.join(b, "form").select("word", "term", "df").distinct().withColumn("edits", edits).where((F.col("edits") <= most) & (F.col("edits") > 0))
     best = F.min(F.struct("edits", (-F.col("df")).alias("d"), "term")).alias("b")

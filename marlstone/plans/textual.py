@@ -98,7 +98,7 @@ def text_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def suggestions(spark: SparkSession, d: str) -> DataFrame:
-    vocabulary = term_counts(spark, d).where("df >= 50 and length(term) between 4 and 12").select("term", "df")
+    vocabulary = term_counts(spark, d).select("term", "df")
     words = spark.createDataFrame([("licensse",), ("versoin",), ("underr",)], "word string")
     return textfn.suggest(words, vocabulary)
 

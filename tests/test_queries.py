@@ -1,7 +1,9 @@
 import importlib.util
 import os
+import random
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -44,6 +46,30 @@ def test_query_against_sql(spark, con, name):
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_suggestions_come_from_the_whole_vocabulary(spark, tmp_path):
+    rng = random.Random(3)
+    near = lambda w: "".join(rng.choice(["", c, c, c, c, c, c + rng.choice("ersn")]) for c in w)
+    texts = [" ".join(near(rng.choice(["license", "version", "under", "nder"])) for _ in range(6)) for _ in range(80)]
+    texts += ["license a license", "version in one", "under it", *["nder"] * 60, None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = Counter(w for t in texts for w in set((t or "").split()))
+    want = {}
+    for word in ("licensse", "versoin", "underr"):
+        found = [(e, -n, w) for w, n in df.items() if 0 < (e := edits(word, w)) <= 2]
+        want[word] = min(found)[2::-2]
+    got = QUERIES["suggestions"](spark, str(tmp_path)).collect()
+    assert {r["word"]: (r["suggestion"], r["edits"]) for r in got} == want
+
+
 def test_entry_works_without_the_optional_subpackage(tmp_path):
     (tmp_path / "marlstone").mkdir()
     for p in ROOT.glob("marlstone/**/*.py"):
