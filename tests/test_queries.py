@@ -8,8 +8,9 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from marlstone.plans import catalogue
+from marlstone.plans import catalogue, functional
 from marlstone.plans.registry import ORACLE, QUERIES
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -70,6 +71,17 @@ def test_suggestions_come_from_the_whole_vocabulary(spark, tmp_path):
     assert {r["word"]: (r["suggestion"], r["edits"]) for r in got} == want
 
 
+@pytest.mark.parametrize(("n", "ranges"), [(0, 4), (60, 4), (3000, 8)])
+def test_every_row_has_a_place(spark, n, ranges):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, "", "Same", "sAME", "".join(rng.choice("aAbBcC") for _ in range(4))])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, name string").repartition(5)
+    got = functional.placed(df, F.collate("name", "UTF8_LCASE"), "id", ranges).collect()
+    want = sorted(rows, key=lambda r: (r[1] is None, (r[1] or "").lower(), r[0]))
+    assert [(r["id"], r["name"]) for r in sorted(got, key=lambda r: r["place"])] == want
+    assert sorted(r["place"] for r in got) == list(range(1, n + 1))
+
+
 def test_entry_works_without_the_optional_subpackage(tmp_path):
     (tmp_path / "marlstone").mkdir()
     for p in ROOT.glob("marlstone/**/*.py"):
