@@ -35,6 +35,11 @@ RULES = (
     Rule("hex", 1, r"[0-9a-f]+", 0, 16),
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
 )
+#: The rules of redaction: as above, but a key goes up to its END line or, without one, with the base64 lines that follow.
+HIDING = (
+    *RULES[:-1],
+    Rule("pem", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/=]{16,}+(?=\s|\z)(?:\s+[A-Za-z0-9+/=]{1,76}+(?=\s*\z))?)*+)", 0, 1),
+)
 SPAN = "array<struct<start:int,kind_no:int,end:int>>"
 
 
@@ -136,7 +141,7 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = 3) ->
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = HIDING) -> DataFrame:
     """docs with secrets replaced by a mark; other columns, and texts without secrets, stay."""
     each = F.array_sort(F.concat(*[spans_of(F.col(text_col), r, i) for i, r in enumerate(rules)]))
     text = F.col(text_col)

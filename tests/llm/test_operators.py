@@ -76,6 +76,14 @@ def test_secrets_are_redacted(spark):
     assert got[5]["text"] == SECRET_TEXTS[5]
 
 
+def test_private_keys_are_redacted_whole(spark):
+    line, begin, end = "MIIEow+/IBAAKCAQEA" * 3, "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join([line] * 30)
+    texts = [f"a {begin}\n{body}\nAb9=\n{end} b", f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{body}\n{end}\nb", f"a {begin}\n{body}\nnot a key", f"{begin}\r\n{body}\n{begin}\n{body}\n{end} c", f"a {begin} b"]
+    got = by_id(secret_scan.redact(table(spark, texts)))
+    assert [got[i]["text"] for i in range(5)] == ["a [SECRET] b", "[SECRET]\nb", "a [SECRET]\nnot a key", "[SECRET]\n[SECRET] c", "a [SECRET] b"]
+
+
 # n-gram Jaccard join
 def jaccard_brute(texts, k, percent):
     def shingles(t):
