@@ -1,42 +1,54 @@
 """Self-join of documents by Jaccard similarity of word shingles, with several global orders.
 
-Equal shingle sets are one class, whose least id stands for it. For similarity t and a set of n
-shingles, two sets that link share a shingle among the first n - ceil(t n) + 1 of each under any
-order of all shingles. Candidates must pass that test under three orders:
+Equal shingle sets are one class, told apart by a 64-bit hash of the set. For similarity t and a set
+of n shingles, two sets that link share a shingle among the first n - ceil(t n) + 1 of each under
+any order of all shingles. Candidates must pass that test under three orders:
 
 1. The first order ranks by how many classes hold a shingle, rare ones first, counted exactly for
    the shingles with the least hashes (a quarter of all at 0.9); the rest follow by hash, and are
-   looked at only where a small set has too few of the former. Shingles of one class only never join, and
-   common passages stand at the end, so joined lists stay short.
-2. and 3. rank by two other hashes. Their first shingles travel as small bit sets; two disjoint ones
-   rule a pair out.
-
-Lists of a common shingle are split into blocks of about BLOCK classes, and a task compares two
-blocks, so no group meets in one task. Pairs are made and filtered inside the task, also by size and
-by the parity bits of the sets, which bound their difference from below; only what passes leaves
-it, once for the first shared shingle as far as KEPT earlier ones tell. What is left is verified on
-the whole sets. Links join classes to components by label propagation.
-
-Null, empty and wordless texts are empty sets: they link with nothing and are their own component.
-Fewer words than a shingle has make one shingle. Repeated rows of an id are rows of one class. Ties
-and other columns have no influence.
+   looked at only where a small set has too few of the former. Shingles of one class only never join.
+   Shingles that have the same first and last holder and about as many holders share a bundle, so a
+   class is sent to a bundle once and not once a shingle, and a pair is looked at in the least of
+   the bundles it shares.
+2. and 3. rank by two other hashes. The first shingles of all three orders travel as 16-bit prints;
+   lists without a common print rule a pair out.
+
+Bundles are split into parts of at most BLOCK classes and WEIGHT shingles, and a task compares two
+parts, so no group meets in one task. Pairs live inside the tasks only: the first pass filters them
+(also by size, and by the parity bits of the sets, which bound their difference from below) and
+names the classes that have a pair left; their whole sets are fetched once for each bundle, and the
+second pass verifies the pairs and lets out a spanning tree of the links and a number of links for
+each class. So what leaves a task grows with the classes that enter it. Links join classes to
+components by label propagation. Where links need no count (`keep_one`), a task verifies the nearest
+pairs first and then only those whose ends are not joined yet.
+
+Rows are the documents. Null, empty and wordless texts are empty sets: they link with nothing and
+are their own component. Fewer words than a shingle has make one shingle. Equal rows are copies of
+each other. Ids may have any type with an order; rows without id are documents like others, and
+their component is the least id in it, null if there is none. Texts of any length are read whole:
+a long one weighs as many shingles as it has. Ties and other columns, whatever their names, have no
+influence. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Staging, components, map_arrow, mix, shingle_hashes, small_batches, texts_of, word_hashes
 
-PARITY_BITS, BLOOM_BITS, KEPT, BLOCK = 2048, 128, 16, 1024
-#: Bound of the broadcast that picks the texts to verify: that many hash values of ids.
-SLOTS = 1 << 20
+PARITY_BITS, KEPT, BLOCK, WEIGHT = 2048, 32, 1024, 2_000_000
+#: Bound of the broadcast that picks the texts to verify: that many rows of 64 bits.
+SLOT_WORDS = 1 << 20
 _ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
+_GROUP = ["key", "low", "high"]
+_ROW = "key long, low int, high int, own int, node long, n long, copies long, parity binary, prints array<binary>, shared array<int>, keys array<long>, n_keys int"
+_COLUMNS = [c.split()[0] for c in _ROW.split(", ")]
 
 
 def region_end(percent: int) -> np.uint64:
@@ -48,216 +60,332 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def node_of(hashes: np.ndarray) -> int:
+    """64-bit name of a set."""
+    with np.errstate(over="ignore"):
+        one, two = mix(hashes).sum(dtype=np.uint64), mix(hashes ^ _ORDERS[0]).sum(dtype=np.uint64)
+        return int(mix(np.array([one ^ mix(np.array([two + np.uint64(len(hashes))]))[0]])).view(np.int64)[0])
+
+
 def summary(hashes: np.ndarray, percent: int) -> tuple:
-    """Signature, region shingles, further shingles, parity bits and bit sets of a set of hashes."""
+    """Name, region shingles, further shingles, parity bits and prints of a sorted set of hashes."""
     n = len(hashes)
     p = prefix_length(n, percent)
-    with np.errstate(over="ignore"):
-        sign = np.array([mix(hashes).sum(dtype=np.uint64), mix(hashes ^ _ORDERS[0]).sum(dtype=np.uint64), n], dtype=np.uint64)
-    inside = hashes[hashes < region_end(percent)]  # hashes are sorted
+    inside = hashes[hashes < region_end(percent)]
     outer = hashes[len(inside) : max(p, len(inside))]
     parity = np.packbits(np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1)
-    blooms = []
+    prints = []
     for seed in _ORDERS:
         ranked = mix(hashes ^ seed)
         first = np.partition(ranked, p - 1)[:p] if p < n else ranked
-        bits = np.zeros(BLOOM_BITS, dtype=np.uint8)
-        bits[(mix(first) >> np.uint64(57)).astype(np.int64)] = 1
-        blooms.append(np.packbits(bits))
-    return sign.tobytes(), inside.view(np.int64), outer.view(np.int64), np.concatenate([parity, *blooms]).tobytes()
+        prints.append((mix(first) >> np.uint64(48)).astype(np.uint16).tobytes())
+    return node_of(hashes), inside.view(np.int64), outer.view(np.int64), parity.tobytes(), prints
 
 
 def _summaries(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     lean = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = lean.schema["doc_id"].dataType.simpleString()
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, sign, inside, outer, bits = [], [], [], [], []
+        n, rows = [], []
         for text in texts_of(batch.column(1)):
             hashes = np.unique(shingle_hashes(word_hashes(text or b""), k))
             n.append(len(hashes))
-            one = summary(hashes, percent) if len(hashes) else (None, None, None, None)
-            for to, x in zip((sign, inside, outer, bits), one, strict=True):
-                to.append(x)
-        many = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(sign, pa.binary()), pa.array(inside, many), pa.array(outer, many), pa.array(bits, pa.binary())],
-            ["doc_id", "n", "sign", "inside", "outer", "bits"],
-        )
-
-    return map_arrow(lean, run, f"doc_id {kind}, n long, sign binary, inside array<long>, outer array<long>, bits binary")
-
-
-def _prefixes(reps: DataFrame, percent: int) -> DataFrame:
-    """(shingle, df, pos, rep, n, first, bits): first shingles of each class that other classes hold."""
-    inside = reps.select("rep", F.lit(0).alias("part"), F.explode("inside").alias("shingle"))
-    outer = reps.select("rep", F.lit(1).alias("part"), F.explode("outer").alias("shingle"))
+            rows.append(summary(hashes, percent) if len(hashes) else (None,) * 5)
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *cols], ["doc_id", "n", "node", "inside", "outer", "parity", "prints"])
+
+    return map_arrow(lean, run, f"doc_id {kind}, n long, node long, inside array<long>, outer array<long>, parity binary, prints array<binary>")
+
+
+def _bundled(reps: DataFrame, percent: int) -> DataFrame:
+    """One row for each class and bundle of its first shingles that other classes hold."""
+    inside = reps.select("node", F.lit(0).alias("part"), F.explode("inside").alias("shingle"))
+    outer = reps.select("node", F.lit(1).alias("part"), F.explode("outer").alias("shingle"))
     each = inside.union(outer)
-    counts = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    shared = each.join(counts, "shingle")
-    ranked = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("part", "df", "shingle"))).alias("s"))
-    lean = reps.select("rep", "n", "bits", F.size("inside").alias("r"))
-    own = ranked.join(lean, "rep")
+    counts = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("node").alias("first"), F.max("node").alias("last")).where("df > 1")
+    counts = counts.select("shingle", "df", F.xxhash64("first", "last", F.floor(F.log2("df"))).alias("key"))
+    ranked = each.join(counts, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("part", "df", "shingle", "key"))).alias("s"))
+    own = ranked.join(reps.select("node", "n", "copies", "parity", "prints", F.size("inside").alias("r")), "node")
     p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     shared_inside = F.size(F.filter("s", lambda x: x["part"] == 0))
     own = own.withColumn("take", F.greatest(p - (F.col("r") - shared_inside), F.lit(0)))
     own = own.withColumn("s", F.filter("s", lambda x, i: (x["part"] == 1) | (i < F.col("take"))))
-    own = own.withColumn("first", F.transform(F.slice("s", 1, KEPT), lambda x: x["shingle"]))
-    return own.select("rep", "n", "bits", "first", F.posexplode("s").alias("pos", "x")).select(
-        "x.shingle", "x.df", "pos", "rep", "n", "first", "bits"
-    )
-
-
-def _blocks(prefixes: DataFrame, block: int) -> DataFrame:
-    """Rows of a common shingle, once for each pair of blocks its own block is part of."""
-    parts = F.ceil(F.col("df") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    p = prefixes.withColumn("parts", parts).withColumn("own", own)
-    p = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return p.select(
-        "shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "pos", "rep", "n", "first", "bits"
-    )
-
-
-def _pairs_of(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the pairs within groups of equal (shingle, low, high) that pass all filters."""
-    shingle, low, high, own, pos, rep, n = (t.column(c).to_numpy() for c in ("shingle", "low", "high", "own", "pos", "rep", "n"))
-    bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=np.uint64).reshape(len(t), -1)
-    words = PARITY_BITS // 64
-    lists = t.column("first").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    first = np.zeros((len(t), KEPT), dtype=np.int64)
-    rows = np.repeat(np.arange(len(t)), sizes)
-    first[rows, np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy()
-    same = lambda i, d: (shingle[i] == shingle[i + d]) & (low[i] == low[i + d]) & (high[i] == high[i + d])
-    out_a, out_b, at, d = [], [], np.arange(len(t)), 0
+    keys = F.array_sort(F.array_distinct(F.transform("s", lambda x: x["key"])))
+    shared = F.transform("s", lambda x: x["shingle"].bitwiseAND(F.lit(65535)).cast("int"))
+    own = own.select("node", "n", "copies", "parity", "prints", shared.alias("shared"), keys.alias("all"))
+    return own.select(F.explode("all").alias("key"), "node", "n", "copies", "parity", "prints", "shared", F.slice("all", 1, KEPT).alias("keys"), F.size("all").alias("n_keys"))
+
+
+def _parts(bundled: DataFrame, block: int) -> DataFrame:
+    """Rows of bundles of two classes or more, once for each pair of parts their own part is in."""
+    sizes = bundled.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("weight")).where("m > 1")
+    parts = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("weight") / WEIGHT)).cast("int")
+    rows = bundled.join(sizes.select("key", parts.alias("parts")), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", *_COLUMNS[4:])
+
+
+class Lists:
+    """Lists of small numbers, one for each row."""
+
+    def __init__(self, offsets: np.ndarray, values: np.ndarray, size: int):
+        self.offsets, self.values, self.mark = offsets, values, np.zeros(size, dtype=bool)
+
+    @classmethod
+    def of(cls, column: pa.Array, kind: type) -> Lists:
+        """From packed binaries."""
+        found = column.to_pylist()
+        values = np.frombuffer(b"".join(found), dtype=kind)
+        offsets = np.concatenate([[0], np.cumsum([len(x) // values.itemsize for x in found])]).astype(np.int64)
+        return cls(offsets, values, 1 << 16) if kind is np.uint16 else cls.numbered(offsets, values)
+
+    @classmethod
+    def numbered(cls, offsets: np.ndarray, values: np.ndarray) -> Lists:
+        known, codes = np.unique(values, return_inverse=True)
+        return cls(offsets, codes, len(known) + 1)
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many values lists i and j of each pair have in common; lists hold a value once."""
+        out = np.zeros(len(i), dtype=np.int64)
+        starts = np.flatnonzero(np.concatenate([[len(i) > 0], i[1:] != i[:-1]]))
+        for a, b in zip(starts, [*starts[1:], len(i)], strict=False):
+            mine = self.values[self.offsets[i[a]] : self.offsets[i[a] + 1]]
+            self.mark[mine] = True
+            for c in range(a, b, 256):
+                to = j[c : min(c + 256, b)]
+                sizes = self.offsets[to + 1] - self.offsets[to]
+                ends = np.cumsum(sizes)
+                at = np.repeat(self.offsets[to] - ends + sizes, sizes) + np.arange(ends[-1])
+                hits = np.concatenate([[0], np.cumsum(self.mark[self.values[at]])])
+                out[c : c + len(to)] = hits[ends] - hits[ends - sizes]
+            self.mark[mine] = False
+        return out
+
+
+def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def pairs_of(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i < j of the pairs within groups that pass all filters, bits they differ in, and
+    whether another group may hold the pair too; sorted by i."""
+    key, low, high, own, node, n = (t.column(c).to_numpy() for c in ("key", "low", "high", "own", "node", "n"))
+    bits = np.frombuffer(b"".join(t.column("parity").to_pylist()), dtype=np.uint64).reshape(len(t), -1)
+    group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+    found, at, d = [], np.arange(len(t)), 0
     while True:
         d += 1
         at = at[at + d < len(t)]
-        at = at[same(at, d)]
+        at = at[group[at] == group[at + d]]
         if not len(at):
             break
         i, j = at, at + d
-        ok = (rep[i] != rep[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        ok = (node[i] != node[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         ok &= (low[i] == high[i]) | (own[i] != own[j])
         i, j = i[ok], j[ok]
-        apart = np.bitwise_count(bits[i, :words] ^ bits[j, :words]).sum(axis=1, dtype=np.int64)
+        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
         ok = apart * (100 + percent) <= (100 - percent) * (n[i] + n[j])
-        for k in range(2):  # the other orders
-            part = slice(words + 2 * k, words + 2 * k + 2)
-            ok &= (bits[i, part] & bits[j, part]).any(axis=1)
-        i, j = i[ok], j[ok]
-        if len(i):
-            a, b = first[i].copy(), first[j].copy()
-            a[np.arange(KEPT) >= pos[i][:, None]] = 0
-            b[np.arange(KEPT) >= pos[j][:, None]] = 0
-            before = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] != 0)).any(axis=(1, 2))
-            i, j = i[~before], j[~before]
-            out_a.append(np.minimum(rep[i], rep[j]))
-            out_b.append(np.maximum(rep[i], rep[j]))
-    empty = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
-
-
-def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
-    key = ["shingle", "low", "high"]
+        found.append(np.stack([i[ok], j[ok], apart[ok]]).astype(np.int32))
+    if not found:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+    i, j, apart = np.concatenate(found, axis=1)
+    found.clear()
+    by = np.lexsort((j, i))
+    i, j, apart = i[by], j[by], apart[by]
+    offsets, keys = _flat(t.column("keys"))
+    rows = np.repeat(np.arange(len(t)), np.diff(offsets))
+    before = keys < key[rows]
+    earlier = Lists.numbered(np.concatenate([[0], np.cumsum(np.bincount(rows[before], minlength=len(t)))]), keys[before])
+    known = (t.column("n_keys").to_numpy() <= KEPT) | (key <= keys[offsets[1:] - 1])
+    ok = earlier.common(i, j) == 0
+    i, j, apart = i[ok], j[ok], apart[ok]
+    prints = t.column("prints").combine_chunks()
+    offsets, values = _flat(t.column("shared"))
+    for order in (Lists(offsets, values, 1 << 16), *(Lists.of(pa.compute.list_element(prints, k), np.uint16) for k in range(2))):
+        ok = order.common(i, j) > 0
+        i, j, apart = i[ok], j[ok], apart[ok]
+    return i, j, apart, ~(known[i] & known[j])
+
+
+def _grouped(rows: DataFrame, f: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """f over tables of whole groups of equal key, low and high."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            a, b = _pairs_of(t, percent)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            last = [batch.column(c)[batch.num_rows - 1].as_py() for c in key]
-            other = np.zeros(batch.num_rows, dtype=bool)
-            for c, x in zip(key, last, strict=True):
-                other |= batch.column(c).to_numpy() != x
-            cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
-            if cut:
-                held.append(batch.slice(0, cut))
-                yield from told(pa.Table.from_batches(held).combine_chunks())
+            same = np.ones(batch.num_rows, dtype=bool)
+            for c in _GROUP:
+                col = batch.column(batch.schema.names.index(c)).to_numpy()
+                same &= col == col[-1]
+            cut = int(np.argmax(same))  # the last group starts here
+            if held and (cut or any(held[-1][c][0].as_py() != batch[c][0].as_py() for c in _GROUP)):
+                if cut:
+                    held.append(batch.slice(0, cut))
+                out = f(pa.Table.from_batches(held))
+                if out is not None:
+                    yield out
+                held = [batch.slice(cut)]
+            elif cut:
+                out = f(pa.Table.from_batches([batch.slice(0, cut)]))
+                if out is not None:
+                    yield out
                 held = [batch.slice(cut)]
-            elif held and any(held[-1].column(c)[0].as_py() != x for c, x in zip(key, last, strict=True)):
-                yield from told(pa.Table.from_batches(held).combine_chunks())
-                held = [batch]
             else:
                 held.append(batch)
-        if held:
-            yield from told(pa.Table.from_batches(held).combine_chunks())
+        if held and (out := f(pa.Table.from_batches(held))) is not None:
+            yield out
 
-    dealt = blocks.repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(run, schema)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, copies: DataFrame, staging: Staging, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs whose whole sets link, with the number of copies of each side.
+def _filtered(parts: DataFrame, percent: int) -> DataFrame:
+    """Rows of the classes that have a pair left, in the groups where it is."""
 
-    Texts are picked by hash values of ids, at most SLOTS of them and so safe to broadcast, rather
-    than by a join that would move all texts; a text picked by chance meets no pair.
-    """
-    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")
-    slots = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).select(slot).distinct()
-    lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-    lean = lean.select("id", "text", slot).join(F.broadcast(slots), "slot", "left_semi").select("id", "text")
-
-    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingle_hashes(word_hashes(t or b""), k)).tobytes() for t in texts_of(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+    def run(t: pa.Table) -> pa.RecordBatch | None:
+        i, j, _, _ = pairs_of(t, percent)
+        rows = np.unique(np.concatenate([i, j]))
+        return t.take(pa.array(rows)).combine_chunks().to_batches()[0] if len(rows) else None
 
-    sets = map_arrow(lean, whole, "id long, set binary").join(copies, "id")
-    sets = staging.put(sets)
+    return _grouped(parts.select(*_COLUMNS), run, _ROW)
 
-    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * both >= percent * (len(p) + len(q) - both))
-        return batch.select(["a", "b", "of_a", "of_b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x"), F.col("copies").alias("of_a")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y"), F.col("copies").alias("of_b")), "b")
-    return map_arrow(two.select("a", "b", "of_a", "of_b", "x", "y"), check, "a long, b long, of_a long, of_b long").distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, set binary) of the wanted classes.
 
+    Texts are picked by hash values of ids, kept as bits in at most SLOT_WORDS rows and so safe to
+    broadcast, rather than by a join that would move all texts; a text picked by chance is of no
+    wanted class and drops out of the join.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(64 * SLOT_WORDS))
+    word, bit = F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit")
+    bits = wanted.select(F.col("rep").alias("id")).select(word, bit).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", "text", word, bit)
+    lean = lean.join(F.broadcast(bits), "word").where("getbit(bits, bit) = 1").select("id", "text")
+    kind = lean.schema["id"].dataType.simpleString()
 
-def join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(word_hashes(t or b""), k)) for t in texts_of(batch.column(1))]
+        nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "node", "set"])
+
+    found = map_arrow(lean, whole, f"id {kind}, node long, set binary").alias("f")
+    rep = wanted.select(F.col("node").alias("of"), "rep")
+    found = found.join(rep, (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("rep")))
+    return found.groupBy("node").agg(F.first("set").alias("set"))
+
+
+def _trees(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least row that each row is joined with."""
+    label = np.arange(size)
+    while len(i):
+        least = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], least)
+        np.minimum.at(label, label[j], least)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+    return label
+
+
+def _linked(rows: DataFrame, percent: int, count: bool) -> DataFrame:
+    """(a, b, w): edges of spanning trees without w; numbers of links w of a class a, without b;
+    and with both, links that other groups may tell again."""
+
+    def run(t: pa.Table) -> pa.RecordBatch | None:
+        i, j, apart, again = pairs_of(t, percent)
+        if not len(i):
+            return None
+        node, n, copies = (t.column(c).to_numpy() for c in ("node", "n", "copies"))
+        sets = Lists.of(t.column("set"), np.uint64)
+
+        def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            both = sets.common(i, j)
+            return 100 * both >= percent * (n[i] + n[j] - both)
+
+        if count:
+            ok = linked(i, j)
+            i, j, again = i[ok], j[ok], again[ok]
+            label = _trees(len(t), i, j)
+        else:
+            keep_i, keep_j = [], []
+            label = np.arange(len(t))
+            for tries in (1, 2, 4, None):  # nearest pairs first, then only across trees
+                if not len(i):
+                    break
+                by = np.lexsort((apart, i))
+                i, j, apart = i[by], j[by], apart[by]
+                starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                rank = np.arange(len(i)) - np.repeat(starts, np.diff([*starts, len(i)]))
+                now = rank < (tries or len(i))
+                ok = linked(i[now], j[now])
+                keep_i.append(i[now][ok])
+                keep_j.append(j[now][ok])
+                label = _trees(len(t), np.concatenate(keep_i), np.concatenate(keep_j))
+                left = ~now & (label[i] != label[j])
+                i, j, apart = i[left], j[left], apart[left]
+        child = np.flatnonzero(label != np.arange(len(t)))
+        a, b, w = [node[label[child]]], [pa.array(node[child])], [pa.nulls(len(child), pa.int64())]
+        if count:
+            sure = ~again
+            for x, y in ((i, j), (j, i)):
+                sums = np.bincount(x[sure], weights=copies[y[sure]], minlength=len(t)).astype(np.int64)
+                some = np.flatnonzero(sums)
+                a += [node[some], node[x[~sure]]]
+                b += [pa.nulls(len(some), pa.int64()), pa.array(node[y[~sure]])]
+                w += [pa.array(sums[some]), pa.array(copies[y[~sure]])]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.concat_arrays(b), pa.concat_arrays(w)], ["a", "b", "w"])
+
+    return _grouped(rows.select(*_COLUMNS, "set"), run, "a long, b long, w long")
+
+
+def join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, count: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links) for each document.
 
-    n_links counts the other documents it links with, copies among them.
+    n_links counts the other documents it links with, copies among them; it is left out, and with
+    it the verification of pairs that are joined anyway, unless count.
     """
     spark = docs.sparkSession
     small_batches(spark)
     staging = Staging(spark)
     all_ = staging.put(_summaries(docs, k, percent, id_col, text_col))
-    lean = staging.put(all_.select("doc_id", "n", "sign"))
-    classes = lean.where("n > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    mine = classes.select(F.col("sign").alias("of"), "rep")
-    reps = all_.where("n > 0").join(mine, (F.col("doc_id") == F.col("rep")) & (F.col("sign") == F.col("of")))
-    reps = staging.put(reps.select("rep", "n", "inside", "outer", "bits"))
+    lean = staging.put(all_.select("doc_id", "n", "node"))
+    same = [F.first(c).alias(c) for c in ("n", "inside", "outer", "parity", "prints")]
+    reps = staging.put(all_.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *same))
     staging.drop(1)
-    prefixes = staging.put(_prefixes(reps, percent))
-    staging.drop(3)
-    pairs = staging.put(_candidates(_blocks(prefixes, block), percent))
+    bundled = staging.put(_bundled(reps, percent))
+    left = staging.put(_filtered(_parts(bundled, block), percent))
     staging.drop(4)
-    copies = classes.select(F.col("rep").alias("id"), "copies")
-    links = staging.put(_verified(docs, pairs, copies, staging, k, percent, id_col, text_col))
-    roots = components(spark, links.select("a", "b"), staging)
-    near = links.select(F.col("a").alias("rep"), F.col("of_b").alias("n")).union(links.select("b", "of_a"))
-    near = near.groupBy("rep").agg(F.sum("n").alias("near"))
-    known = classes.join(roots, classes.rep == roots.node, "left").join(near, "rep", "left")
-    known = known.select("sign", "rep", F.coalesce("root", "rep").alias("root"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
-    full = lean.where("n > 0").join(known, "sign")
-    full = full.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.col("rep").alias("class_id"), F.col("links").alias("n_links"))
-    none = lean.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.union(none)
+    classes = staging.put(reps.select("node", "rep", "copies"))
+    staging.drop(3)
+    wanted = staging.put(left.select("node").distinct().join(classes.select("node", "rep"), "node"))
+    sets = _sets(docs, wanted, k, id_col, text_col)
+    links = staging.put(_linked(left.join(sets, "node"), percent, count))
+    staging.drop(5)
+    roots = components(spark, links.where("b is not null").select("a", "b"), staging)
+    known = classes.join(roots, classes.node == roots.node, "left").select(classes.node, "rep", "copies", "root")
+    least = known.where("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
+    known = known.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")))
+    shown = ["component_id", F.col("rep").alias("class_id")]
+    if count:
+        sure = links.where("b is null").select("a", "w").union(links.where("b is not null and w is not null").distinct().select("a", "w"))
+        known = known.join(sure.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("near")), "node", "left")
+        shown.append((F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    full = lean.where("n > 0").join(known.select("node", *shown), "node").drop("node").withColumnRenamed("n", "n_shingles")
+    own = F.col("doc_id")
+    none = lean.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.alias("class_id"))
+    return full.unionByName(none.withColumn("n_links", F.lit(0).cast("long")) if count else none)
 
 
 def keep_one(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the least id of each component; columns stay."""
-    found = join(docs, k, percent, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    """docs with the least id of each component; columns stay, and so do rows without id."""
+    found = join(docs, k, percent, id_col, text_col, count=False)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

@@ -137,6 +137,64 @@ def test_keep_one_of_each_group(spark):
     assert jaccard.join(table(spark, []), 3, 90).count() == 0
 
 
+def one_group(size=300, words=70):
+    """Near copies of one text, so edited that about half of the pairs link, and copies of copies."""
+    rng = np.random.default_rng(7)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for _ in range(size):
+        copy = list(base)
+        for at in rng.integers(0, words, rng.integers(0, 4)):
+            copy[at] = f"e{rng.integers(0, 30)}"
+        out.append(" ".join(copy))
+    return [*out, *out[:20], "quite another text of its own", None]
+
+
+@pytest.mark.parametrize("count", [True, False])
+def test_large_group_of_near_copies(spark, count):
+    texts = one_group()
+    found = jaccard.join(table(spark, texts), 5, 80, block=64, count=count)
+    want = jaccard_brute(texts, 5, 80)
+    assert any(0 < links < 200 for _, _, links in want.values())
+    shown = (lambda r: (r["n_shingles"], r["component_id"], r["n_links"])) if count else (lambda r: (r["n_shingles"], r["component_id"]))
+    assert {i: shown(r) for i, r in by_id(found).items()} == {i: w if count else w[:2] for i, w in want.items()}
+
+
+def test_rows_that_leave_tasks_grow_with_rows_not_pairs(spark, monkeypatch):
+    """Verified pairs leave a task as a tree and as one number for each class."""
+    staged = []
+    put = Staging.put
+
+    def counted(self, df):
+        out = put(self, df)
+        staged.append((df.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(Staging, "put", counted)
+    jaccard.join(table(spark, one_group()), 5, 80).collect()
+    links = next(n for columns, n in staged if columns == ["a", "b", "w"])
+    rows = next(n for columns, n in staged if "n_keys" in columns and "own" not in columns)
+    assert 0 < links <= 2 * rows
+
+
+def test_jaccard_ids_of_any_type_repeated_and_null(spark):
+    texts = near_copies(5, groups=2)
+    want = jaccard_brute(texts, 3, 90)
+    name = lambda i: f"d{i:03}"
+    named = spark.createDataFrame([(name(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    got = by_id(jaccard.join(named, 3, 90))
+    assert {i: (r["n_shingles"], r["component_id"], r["n_links"]) for i, r in got.items()} == {name(i): (n, name(root), links) for i, (n, root, links) in want.items()}
+    twice = table(spark, texts).union(table(spark, texts))  # equal rows are copies
+    for r in jaccard.join(twice, 3, 90).collect():
+        n, root, links = want[r["doc_id"]]
+        assert (r["n_shingles"], r["component_id"]) == (n, root)
+        assert r["n_links"] == (2 * links + 1 if n else 0)
+    odd = spark.createDataFrame([(None, texts[-1]), (7, texts[-1]), (5, texts[-1]), (None, None), (5, "other words stand here"), (9, "other words stand here")], "doc_id long, text string")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["n_links"]) for r in jaccard.join(odd, 3, 90).collect())
+    n = want[len(texts) - 1][0]
+    assert got == sorted([(True, 0, n, 5, 2), (False, 7, n, 5, 2), (False, 5, n, 5, 2), (True, 0, 0, 0, 0), (False, 5, 2, 5, 1), (False, 9, 2, 5, 1)])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(8, 60)] + [(500, 499), (499, 498), (498, 500)]
     roots = dict(map(tuple, components(spark, spark.createDataFrame(edges, "a long, b long"), Staging(spark)).collect()))
