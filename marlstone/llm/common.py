@@ -44,6 +44,9 @@ class Staging:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        if self.n == 1:  # what is not dropped earlier goes with the driver
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, n: int) -> None:
