@@ -4,8 +4,12 @@ Training: on a bounded sample of labelled documents (TRAIN_ROWS, least hashes of
 each text once and groups of near copies (equal least shingle) once, the documents that hold a token are counted by label. The log-odds of a
 token have an informative Dirichlet prior: pseudo-documents, PRIOR times as many as there are, spread
 like the whole sample.
-Tokens whose z-score is small count as neutral, at any mix of labels; every token also pays DRIFT, so that the mean over
-clean text is negative.
+Tokens that OFTEN documents of the sample hold stand for themselves. Rarer ones are counted by their
+beginnings (LEAST_STEM to MOST_STEM characters) as well, so that inflected and compound forms count by
+their stem: such a token has the log-odds of the beginning whose z-score is largest, else its own.
+What has a small z-score counts as neutral, at any mix of labels; every token also pays DRIFT, so that
+the mean over clean text is negative. The driver holds the tokens and stems that count or are frequent,
+as many as the bounded sample has at most.
 
 Scoring: a linear scan finds all maximal scoring segments of the whole text. A segment of score S in
 a text of n tokens is significant by extreme-value statistics, with lambda the root of
@@ -20,7 +24,8 @@ Repeated rows are scored alike; other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
+import string
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,10 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import Staging, map_arrow, shingle_hashes, small_batches, texts_of, word_hashes
 
-#: Bounds of the fit: labelled rows, and tokens that keep a score of their own.
-TRAIN_ROWS, VOCABULARY = 16_000, 20_000
-PRIOR, DRIFT, LEAST_Z, THRESHOLD = 0.3, 0.25, 3.5, 0.3
-_EDGES = b".,;:!?\"'()[]{}<>*_-"
+#: Bound of the fit: labelled rows.
+TRAIN_ROWS = 16_000
+OFTEN, LEAST_STEM, MOST_STEM = 30, 3, 8
+#: Bound of the table of scored tokens of a task.
+KEPT = 300_000
+PRIOR, DRIFT, LEAST_Z, THRESHOLD, FOLDS = 0.3, 0.25, 3.5, 0.3, 4
+_EDGES = string.punctuation.encode()
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -41,6 +49,12 @@ def tokens(text: bytes) -> list[bytes]:
     return [w.strip(_EDGES) for w in text.lower().split()]
 
 
+def stems(word: bytes) -> list[bytes]:
+    """Beginnings of a token, marked by an asterisk, which no token ends with."""
+    text = word.decode()
+    return [text[:k].encode() + b"*" for k in range(LEAST_STEM, min(len(text) - 1, MOST_STEM) + 1)]
+
+
 def maximal_segments(scores: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
     """All maximal scoring segments of scored runs (score, start, end), in linear time.
 
@@ -71,16 +85,26 @@ def maximal_segments(scores: list[tuple[float, int, int]]) -> list[tuple[float,
 @dataclass
 class Model:
     scores: dict[bytes, float] = field(default_factory=dict)
+    stems: dict[bytes, tuple[float, float]] = field(default_factory=dict)  # score and z
     lam: float = 1.0
     log_k: float = 0.0
     slope: float = 0.0
     bias: float = -3.0
+    often: set[bytes] = field(default_factory=set)
+    known: dict[bytes, float | None] = field(default_factory=dict, repr=False)
+
+    def score_of(self, word: bytes) -> float | None:
+        if word not in self.known:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            found = [x for f in stems(word) if (x := self.stems.get(f))] if word not in self.often else None
+            self.known[word] = max(found, key=lambda x: x[1])[0] if found else self.scores.get(word)
+        return self.known[word]
 
     def segments(self, text: bytes) -> tuple[list[tuple[float, int, int]], int]:
         """Maximal segments (score, first token, end) and the number of tokens."""
         words = tokens(text)
-        get = self.scores.get
-        marked = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
+        marked = [(i, s) for i, s in enumerate(map(self.score_of, words)) if s is not None] if self.scores or self.stems else []
         runs, at = [], 0
         for i, s in marked:
             if i > at:
@@ -140,7 +164,7 @@ def sample(docs: DataFrame, labels: DataFrame, staging: Staging, id_col: str, te
     return staging.put(lean.join(F.broadcast(known), "_id").select("text", "y"))
 
 
-def _weigh(counts: DataFrame) -> Model | None:
+def _weigh(counts: DataFrame, often: set[bytes]) -> Model | None:
     """Token scores and lambda from (w, clean, toxic); None unless both labels occur."""
     counts = counts.groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     docs_n = counts.where(F.length("w") == 0).select("clean", "toxic").first()
@@ -155,15 +179,17 @@ def _weigh(counts: DataFrame) -> Model | None:
     )
     z = F.abs(F.col("d") / F.col("sd"))
     # no least odds: the prior caps the odds of a rare token, and that cap falls as more labels are toxic
-    best = words.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "w").limit(VOCABULARY).collect()
-    total = counts.where(F.length("w") > 0).agg(F.sum("clean")).first()[0] or 1
-    model = Model(scores={bytes(r["w"]): r["d"] - DRIFT for r in best})
-    model.lam = _fit_lambda(model.scores, {bytes(r["w"]): r["clean"] for r in best}, total)
+    best = words.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy("w").collect()
+    total = counts.where((F.length("w") > 0) & (F.col("w").substr(-1, 1) != F.lit(b"*"))).agg(F.sum("clean")).first()[0] or 1
+    found = {bytes(r["w"]): r["d"] - DRIFT for r in best}
+    z = {bytes(r["w"]): r["z"] for r in best}
+    model = Model({w: s for w, s in found.items() if w[-1:] != b"*"}, {w: (s, z[w]) for w, s in found.items() if w[-1:] == b"*"}, often=often)
+    model.lam = _fit_lambda(found, {bytes(r["w"]): r["clean"] for r in best}, total)
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """Scores from the whole sample; statistics and chances from halves that score each other."""
+    """Scores from the whole sample; statistics and chances from folds that score each other."""
     spark = docs.sparkSession
     small_batches(spark)
     staging = Staging(spark)
@@ -177,43 +203,49 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # copies and most near copies share their least shingle: a group of them counts as one document
     keyed = map_arrow(rated, least_shingle, "text string, y double, key long")
     once = keyed.groupBy("key").agg(F.min("text").alias("text"), (F.avg("y") >= 0.5).cast("double").alias("y")).drop("key")
-    once = staging.put(once.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")))
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: dict[tuple[bytes, int], list[int]] = {}
-        for text, y, half in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for w in {*tokens(text), b""}:  # the empty one counts documents
-                seen.setdefault((w, half), [0, 0])[int(y)] += 1
-        cols = [pa.array([k[0] for k in seen], pa.binary()), pa.array([k[1] for k in seen], pa.int32())]
-        cols += [pa.array([v[y] for v in seen.values()], pa.int64()) for y in (0, 1)]
-        return pa.RecordBatch.from_arrays(cols, ["w", "half", "clean", "toxic"])
-
-    each = map_arrow(once, count, "w binary, half int, clean long, toxic long")
-    counts = staging.put(each.groupBy("w", "half").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    model = _weigh(counts)
+    once = staging.put(once.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")))
+
+    def counted(of: Callable[[set[bytes]], set[bytes]]) -> DataFrame:
+        def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+            seen: dict[tuple[bytes, int], list[int]] = {}
+            for text, y, fold in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for w in of(set(tokens(text))):
+                    seen.setdefault((w, fold), [0, 0])[int(y)] += 1
+            cols = [pa.array([k[0] for k in seen], pa.binary()), pa.array([k[1] for k in seen], pa.int32())]
+            cols += [pa.array([v[y] for v in seen.values()], pa.int64()) for y in (0, 1)]
+            return pa.RecordBatch.from_arrays(cols, ["w", "fold", "clean", "toxic"])
+
+        each = map_arrow(once, count, "w binary, fold int, clean long, toxic long")
+        return staging.put(each.groupBy("w", "fold").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+
+    counts = counted(lambda words: words | {b""})  # the empty one counts documents
+    frequent = counts.groupBy("w").agg(F.sum(F.col("clean") + F.col("toxic")).alias("n")).where(f"n >= {OFTEN}")
+    often = {bytes(r["w"]) for r in frequent.select("w").collect()}
+    counts = counts.union(counted(lambda words: {f for w in words - often for f in stems(w)}))
+    model = _weigh(counts, often)
     if model is None:
         n = {r[0]: r[1] for r in rated.groupBy("y").count().collect()}
         clean, toxic = n.get(0.0, 0), n.get(1.0, 0)
         return Model(bias=float(np.log((toxic + 0.5) / (clean + (8.5 if not n else 0.5)))))
-    halves = [_weigh(counts.where(F.col("half") != h)) or model for h in (0, 1)]
+    folds = [_weigh(counts.where(F.col("fold") != h), often) or model for h in range(FOLDS)]
 
     def tops(batch: pa.RecordBatch) -> pa.RecordBatch:
         top, n = [], []
-        for text, half in zip(texts_of(batch.column(0)), batch.column(2).to_pylist(), strict=True):
-            found, size = halves[half].segments(text)
-            top.append(halves[half].lam * max((s for s, _, _ in found), default=0.0))
+        for text, fold in zip(texts_of(batch.column(0)), batch.column(2).to_pylist(), strict=True):
+            found, size = folds[fold].segments(text)
+            top.append(folds[fold].lam * max((s for s, _, _ in found), default=0.0))
             n.append(size)
-        return pa.RecordBatch.from_arrays([pa.array(top), pa.array(n, pa.int64()), batch.column(1), batch.column(2)], ["top", "n", "y", "half"])
+        return pa.RecordBatch.from_arrays([pa.array(top), pa.array(n, pa.int64()), batch.column(1), batch.column(2)], ["top", "n", "y", "fold"])
 
-    maxima = map_arrow(once, tops, "top double, n long, y double, half int").where("y = 0 and n > 0")
+    maxima = map_arrow(once, tops, "top double, n long, y double, fold int").where("y = 0 and n > 0")
     # an extreme-value law has mean (ln K n + 0.5772) / lambda
-    mean = {r[0]: r[1] for r in maxima.groupBy("half").agg(F.avg(F.col("top") - F.log("n"))).collect()}
-    for h, m in enumerate(halves):
+    mean = {r[0]: r[1] for r in maxima.groupBy("fold").agg(F.avg(F.col("top") - F.log("n"))).collect()}
+    for h, m in enumerate(folds):
         m.log_k = float(max(mean.get(h, 0.0) - 0.5772, -8.0))
-    model.log_k = float(np.mean([m.log_k for m in halves]))
+    model.log_k = float(np.mean([m.log_k for m in folds]))
 
     def excesses(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [halves[h].significant(t)[1] for t, h in zip(texts_of(batch.column(0)), batch.column(2).to_pylist(), strict=True)]
+        x = [folds[h].significant(t)[1] for t, h in zip(texts_of(batch.column(0)), batch.column(2).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(x), batch.column(1)], ["x", "y"])
 
     found = map_arrow(once, excesses, "x double, y double").collect()  # at most `rows` pairs
