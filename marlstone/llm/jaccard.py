@@ -10,8 +10,8 @@ any order of all shingles. Candidates must pass that test under three orders:
    Shingles that have the same first and last holder and about as many holders share a bundle, so a
    class is sent to a bundle once and not once a shingle, and a pair is looked at in the least of
    the bundles it shares.
-2. and 3. rank by two other hashes. The first shingles of all three orders travel as 16-bit prints;
-   lists without a common print rule a pair out.
+2. and 3. rank by two other hashes. The first shingles of the first order travel as 16-bit prints,
+   those of the others are taken from the whole sets; a pair without a common one in each is ruled out.
 
 Bundles are split into parts of at most BLOCK classes and WEIGHT shingles, and a task compares two
 parts, so no group meets in one task. Pairs live inside the tasks only: the first pass filters them
@@ -36,7 +36,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +44,11 @@ from .common import Staging, components, map_arrow, mix, shingle_hashes, small_b
 PARITY_BITS, KEPT, BLOCK, WEIGHT = 2048, 32, 1024, 2_000_000
 #: Bound of the broadcast that picks the texts to verify: that many rows of 64 bits.
 SLOT_WORDS = 1 << 20
+#: Bound of the broadcast of large bundles; more of them are joined by a shuffle.
+SENT_ROWS = 100_000
 _ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 _GROUP = ["key", "low", "high"]
-_ROW = "key long, low int, high int, own int, node long, n long, copies long, parity binary, prints array<binary>, shared array<int>, keys array<long>, n_keys int"
+_ROW = "key long, low int, high int, own int, node long, n long, copies long, parity binary, shared array<smallint>, keys array<long>, n_keys int"
 _COLUMNS = [c.split()[0] for c in _ROW.split(", ")]
 
 
@@ -67,36 +68,37 @@ def node_of(hashes: np.ndarray) -> int:
         return int(mix(np.array([one ^ mix(np.array([two + np.uint64(len(hashes))]))[0]])).view(np.int64)[0])
 
 
+def first_of(hashes: np.ndarray, percent: int, seed: np.uint64) -> np.ndarray:
+    """Ranks of the first shingles of a set under the order of a seed."""
+    ranked, p = mix(hashes ^ seed), prefix_length(len(hashes), percent)
+    return np.partition(ranked, p - 1)[:p] if p < len(ranked) else ranked
+
+
 def summary(hashes: np.ndarray, percent: int) -> tuple:
-    """Name, region shingles, further shingles, parity bits and prints of a sorted set of hashes."""
+    """Name, region shingles, further shingles and parity bits of a sorted set of hashes."""
     n = len(hashes)
     p = prefix_length(n, percent)
     inside = hashes[hashes < region_end(percent)]
     outer = hashes[len(inside) : max(p, len(inside))]
     parity = np.packbits(np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1)
-    prints = []
-    for seed in _ORDERS:
-        ranked = mix(hashes ^ seed)
-        first = np.partition(ranked, p - 1)[:p] if p < n else ranked
-        prints.append((mix(first) >> np.uint64(48)).astype(np.uint16).tobytes())
-    return node_of(hashes), inside.view(np.int64), outer.view(np.int64), parity.tobytes(), prints
+    return node_of(hashes), inside.view(np.int64), outer.view(np.int64), parity.tobytes()
 
 
 def _summaries(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     lean = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = lean.schema["doc_id"].dataType.simpleString()
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, rows = [], []
         for text in texts_of(batch.column(1)):
             hashes = np.unique(shingle_hashes(word_hashes(text or b""), k))
             n.append(len(hashes))
-            rows.append(summary(hashes, percent) if len(hashes) else (None,) * 5)
+            rows.append(summary(hashes, percent) if len(hashes) else (None,) * 4)
         cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *cols], ["doc_id", "n", "node", "inside", "outer", "parity", "prints"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *cols], ["doc_id", "n", "node", "inside", "outer", "parity"])
 
-    return map_arrow(lean, run, f"doc_id {kind}, n long, node long, inside array<long>, outer array<long>, parity binary, prints array<binary>")
+    return map_arrow(lean, run, f"doc_id {kind}, n long, node long, inside array<long>, outer array<long>, parity binary")
 
 
 def _bundled(reps: DataFrame, percent: int) -> DataFrame:
@@ -106,23 +108,26 @@ def _bundled(reps: DataFrame, percent: int) -> DataFrame:
     each = inside.union(outer)
     counts = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("node").alias("first"), F.max("node").alias("last")).where("df > 1")
     counts = counts.select("shingle", "df", F.xxhash64("first", "last", F.floor(F.log2("df"))).alias("key"))
-    ranked = each.join(counts, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("part", "df", "shingle", "key"))).alias("s"))
-    own = ranked.join(reps.select("node", "n", "copies", "parity", "prints", F.size("inside").alias("r")), "node")
-    p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    shared_inside = F.size(F.filter("s", lambda x: x["part"] == 0))
-    own = own.withColumn("take", F.greatest(p - (F.col("r") - shared_inside), F.lit(0)))
-    own = own.withColumn("s", F.filter("s", lambda x, i: (x["part"] == 1) | (i < F.col("take"))))
+    some = F.struct("part", "df", "shingle", "key")
+    ranked = each.join(counts, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(some)).alias("s"), F.count_if(F.col("part") == 0).cast("int").alias("held"))
+    own = ranked.join(reps.select("node", "n", "copies", "parity", F.size("inside").alias("r")), "node")
+    p = (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int")
+    take = F.least(F.greatest(p - F.col("r") + F.col("held"), F.lit(0)), F.col("held"))  # region shingles come first
+    own = own.withColumn("s", F.concat(F.slice("s", F.lit(1), take), F.slice("s", F.col("held") + 1, F.size("s"))))
     keys = F.array_sort(F.array_distinct(F.transform("s", lambda x: x["key"])))
-    shared = F.transform("s", lambda x: x["shingle"].bitwiseAND(F.lit(65535)).cast("int"))
-    own = own.select("node", "n", "copies", "parity", "prints", shared.alias("shared"), keys.alias("all"))
-    return own.select(F.explode("all").alias("key"), "node", "n", "copies", "parity", "prints", "shared", F.slice("all", 1, KEPT).alias("keys"), F.size("all").alias("n_keys"))
+    shared = F.transform("s", lambda x: F.shiftright(F.shiftleft(x["shingle"], 48), 48).cast("smallint"))
+    own = own.select("node", "n", "copies", "parity", shared.alias("shared"), keys.alias("all"))
+    return own.select(F.explode("all").alias("key"), "node", "n", "copies", "parity", "shared", F.slice("all", 1, KEPT).alias("keys"), F.size("all").alias("n_keys"))
 
 
-def _parts(bundled: DataFrame, block: int) -> DataFrame:
-    """Rows of bundles of two classes or more, once for each pair of parts their own part is in."""
-    sizes = bundled.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("weight")).where("m > 1")
+def _parts(bundled: DataFrame, block: int, staging: Staging) -> DataFrame:
+    """Rows of bundles, once for each pair of parts their own part is in."""
+    sizes = bundled.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("weight"))
     parts = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("weight") / WEIGHT)).cast("int")
-    rows = bundled.join(sizes.select("key", parts.alias("parts")), "key")
+    large = staging.put(sizes.select("key", parts.alias("parts")).where("parts > 1"))
+    if large.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
+        large = F.broadcast(large)
+    rows = bundled.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", *_COLUMNS[4:])
@@ -135,12 +140,9 @@ class Lists:
         self.offsets, self.values, self.mark = offsets, values, np.zeros(size, dtype=bool)
 
     @classmethod
-    def of(cls, column: pa.Array, kind: type) -> Lists:
-        """From packed binaries."""
-        found = column.to_pylist()
-        values = np.frombuffer(b"".join(found), dtype=kind)
-        offsets = np.concatenate([[0], np.cumsum([len(x) // values.itemsize for x in found])]).astype(np.int64)
-        return cls(offsets, values, 1 << 16) if kind is np.uint16 else cls.numbered(offsets, values)
+    def of(cls, found: list[np.ndarray]) -> Lists:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+        return cls.numbered(offsets, np.concatenate(found))
 
     @classmethod
     def numbered(cls, offsets: np.ndarray, values: np.ndarray) -> Lists:
@@ -171,9 +173,9 @@ def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
 
 
-def pairs_of(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pairs_of(t: pa.Table, percent: int, sets: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows i < j of the pairs within groups that pass all filters, bits they differ in, and
-    whether another group may hold the pair too; sorted by i."""
+    whether another group may hold the pair too; sorted by i. The orders by hashes need the sets."""
     key, low, high, own, node, n = (t.column(c).to_numpy() for c in ("key", "low", "high", "own", "node", "n"))
     bits = np.frombuffer(b"".join(t.column("parity").to_pylist()), dtype=np.uint64).reshape(len(t), -1)
     group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
@@ -204,9 +206,11 @@ def pairs_of(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     known = (t.column("n_keys").to_numpy() <= KEPT) | (key <= keys[offsets[1:] - 1])
     ok = earlier.common(i, j) == 0
     i, j, apart = i[ok], j[ok], apart[ok]
-    prints = t.column("prints").combine_chunks()
     offsets, values = _flat(t.column("shared"))
-    for order in (Lists(offsets, values, 1 << 16), *(Lists.of(pa.compute.list_element(prints, k), np.uint16) for k in range(2))):
+    orders = [Lists(offsets, values.astype(np.int64) & 0xFFFF, 1 << 16)]
+    if sets and len(i):
+        orders += [Lists.of([first_of(x, percent, seed) for x in sets]) for seed in _ORDERS]
+    for order in orders:
         ok = order.common(i, j) > 0
         i, j, apart = i[ok], j[ok], apart[ok]
     return i, j, apart, ~(known[i] & known[j])
@@ -300,11 +304,12 @@ def _linked(rows: DataFrame, percent: int, count: bool) -> DataFrame:
     and with both, links that other groups may tell again."""
 
     def run(t: pa.Table) -> pa.RecordBatch | None:
-        i, j, apart, again = pairs_of(t, percent)
+        found = [np.frombuffer(x, dtype=np.uint64) for x in t.column("set").to_pylist()]
+        i, j, apart, again = pairs_of(t, percent, found)
         if not len(i):
             return None
         node, n, copies = (t.column(c).to_numpy() for c in ("node", "n", "copies"))
-        sets = Lists.of(t.column("set"), np.uint64)
+        sets = Lists.of(found)
 
         def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             both = sets.common(i, j)
@@ -357,18 +362,18 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id",
     staging = Staging(spark)
     all_ = staging.put(_summaries(docs, k, percent, id_col, text_col))
     lean = staging.put(all_.select("doc_id", "n", "node"))
-    same = [F.first(c).alias(c) for c in ("n", "inside", "outer", "parity", "prints")]
+    same = [F.first(c).alias(c) for c in ("n", "inside", "outer", "parity")]
     reps = staging.put(all_.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *same))
     staging.drop(1)
     bundled = staging.put(_bundled(reps, percent))
-    left = staging.put(_filtered(_parts(bundled, block), percent))
-    staging.drop(4)
     classes = staging.put(reps.select("node", "rep", "copies"))
     staging.drop(3)
+    left = staging.put(_filtered(_parts(bundled, block, staging), percent))
+    staging.drop(4)
     wanted = staging.put(left.select("node").distinct().join(classes.select("node", "rep"), "node"))
     sets = _sets(docs, wanted, k, id_col, text_col)
     links = staging.put(_linked(left.join(sets, "node"), percent, count))
-    staging.drop(5)
+    staging.drop(7)
     roots = components(spark, links.where("b is not null").select("a", "b"), staging)
     known = classes.join(roots, classes.node == roots.node, "left").select(classes.node, "rep", "copies", "root")
     least = known.where("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
