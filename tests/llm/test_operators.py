@@ -367,6 +367,26 @@ def test_quality_against_brute_force(spark):
         assert not (r["kept"] and r["base_failed"])
     assert all(got[i]["kept"] for i in range(10, 15))
     assert quality.judge(table(spark, [])).count() == 0
+    twice = quality.judge(table(spark, texts).union(table(spark, texts))).groupBy(*quality.judge(table(spark, texts)).columns).count().collect()
+    assert len(twice) == len(texts) and {r["count"] for r in twice} == {2}
+
+
+def test_rules_stand_by_rejection_per_cost(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(20)), 20, i % 10, False) for i in range(100)] + [(100, "x", 1, 9, True)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, n_words long, d long, base_failed boolean")
+    d, rule = F.col("d"), quality.Rule
+    found = {
+        "cheap_rare": rule(d == 0, steps=1),  # 10 in 100, cost 0.5
+        "cheap_often": rule(d >= 5, steps=1),  # 50 in 100
+        "cheap_same": rule(d >= 5, steps=2),  # nothing is left for it to reject
+        "dear_often": rule(d >= 3, passes=1, steps=1),  # 70 in 100, but a text of 70 code points
+        "dear_never": rule(F.lit(None).cast("boolean"), passes=2),
+    }
+    orders = [quality.order_rules(sample, dict(x)) for x in (found.items(), reversed(found.items()))]
+    assert orders[0] == orders[1] == ["cheap_often", "cheap_rare", "cheap_same", "dear_often", "dear_never"]
+    dear = quality.rules()
+    real = quality.order_rules(quality.base_figures(table(spark, ["plain words stand in this text here, more than ten of them"] * 50)), dear)
+    assert {name for name, r in dear.items() if not r.passes} == set(real[:3])  # with nothing rejected, cheap rules first
 
 
 # licence scans
