@@ -35,25 +35,29 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 class Staging:
-    """Tables written to the shared folder; cuts lineage and survives lost executors."""
+    """Tables written to the shared folder; cuts lineage and survives lost executors. What is not
+    dropped earlier goes when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}", 0
+        path, fs = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, path: str) -> tuple:
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
-        if self.n == 1:  # what is not dropped earlier goes with the driver
-            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, n: int) -> None:
         """Delete the n-th table once nothing will read it again."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}")
-        path.getFileSystem(conf).delete(path, True)
+        path, fs = self._at(f"{self.root}/{n}")
+        fs.delete(path, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ licence of its own inherits from its nearest ancestor directory that has one, by
 
 A null or empty text has no header; a null path has no directory. Ties of cosine go to the name
 that sorts first, in a directory to the higher cosine and then that name. Repeated rows are judged
-alike, other columns are not read.
+alike, other columns are not read. Very long texts are compared whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, small_batches
+from .common import Staging, map_arrow, small_batches
 
 LEAST_COSINE, WHOLE_COSINE = 0.6, 0.8
 _GNU = (
@@ -222,7 +222,8 @@ def inherit(found: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, path, licence, cosine, basis, from_dir); basis is own, inherited or none."""
-    out = inherit(own_licences(files, path, id_col, text_col))
+    # the texts are read once: what is found is small and used three times
+    out = inherit(Staging(files.sparkSession).put(own_licences(files, path, id_col, text_col)))
     basis = F.when(F.col("own").isNotNull(), "own").when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
     from_dir = F.when(basis == "inherited", F.col("from_dir"))
     return out.select("doc_id", "path", F.coalesce("own", "inherited").alias("licence"), F.round("cosine", 9).alias("cosine"), basis.alias("basis"), from_dir.alias("from_dir"))

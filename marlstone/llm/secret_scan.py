@@ -2,20 +2,25 @@
 
 A blob is one text, named by its SHA-256, however many paths or versions hold it. The ledger has
 the spans of each (blob, rule version) that has been scanned. A scan takes the blobs of all
-versions, leaves out the pairs the ledger has, scans the rest once, and joins spans back to every
-path. Only DataFrame functions run on rows.
+versions, leaves out the pairs the ledger has, scans the rest once, appends them, and joins spans back
+to every path. Only DataFrame functions run on rows. `Ledger` keeps the rows in a folder, one part for
+each scan, so that a later scan of the same or of further versions only reads what is new.
 
 A null text is an empty blob without spans. Repeated paths keep their rows. Spans are counted in
-code points, ends exclusive.
+code points, ends exclusive; spans of two kinds may overlap and are both kept, by start and then kind.
+Texts of any length are scanned whole. An empty table gives no rows and adds nothing to the ledger.
+Columns other than id and text, whatever their names, are not read; ids may be null.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Staging
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -108,27 +113,63 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     return one.select("blob", "r.kind", "r.version", F.filter("spans", lambda s: s["kind_no"] == F.col("r.no")).alias("spans"))
 
 
+LEDGER = f"blob string, kind string, version int, spans {SPAN}"
+
+
+class Ledger:
+    """Rows of (blob, kind, version, spans) in a folder on any store that Spark can read and write."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def rows(self) -> DataFrame | None:
+        """All rows; None where nothing has been scanned."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return self.spark.read.schema(LEDGER).parquet(self.folder)
+
+    def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+        """Scans what is unseen, appends it and returns all rows. A scan that fails appends nothing, and
+        one that is done again finds its pairs in the ledger."""
+        new = update_ledger(docs, self.rows(), rules, text_col)
+        new.select("blob", "kind", F.col("version").cast("int"), F.col("spans").cast(SPAN)).write.mode("append").parquet(self.folder)
+        return self.rows()
+
+
 def _named(spans: Column, rules: tuple[Rule, ...]) -> Column:
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind_no"]), s["start"], s["end"])), ",")
 
 
-def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, blob, spans array) for every path: known and new spans joined back by blob.
+def _joined(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFrame:
+    """docs with the columns _blob and _spans, found in the ledger by blob.
 
-    Blobs without spans don't take part in the join. A blob that a third of all paths share is
-    one large key of it, which the adaptive skew join splits.
+    Blobs without spans don't take part in the join. A blob that a third of all paths share is one
+    large key of it, which the adaptive skew join splits.
     """
-    paths = docs.select(F.col(id_col).alias("doc_id"), blob_of(F.col(text_col)).alias("blob"))
-    versions = docs.select(blob_of(F.col(text_col)).alias("blob"), F.coalesce(text_col, F.lit("")).alias("text"))
-    new = scan(unseen(versions, ledger, rules), rules).select("blob", "spans")
-    if ledger is not None:
-        no = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(f"{r.kind}:{r.version}"), F.lit(i))])
-        old = ledger.withColumn("no", no[F.concat_ws(":", "kind", "version")]).where("no is not null")
-        old = old.select("blob", F.transform("spans", lambda s: F.struct(s["start"], F.col("no").alias("kind_no"), s["end"])).cast(SPAN).alias("spans"))
-        new = new.union(old).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    hit = new.where(F.size("spans") > 0)
-    return paths.join(hit, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    no = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(f"{r.kind}:{r.version}"), F.lit(i))])
+    hit = ledger.where(F.size("spans") > 0).withColumn("no", no[F.concat_ws(":", "kind", "version")]).where("no is not null")
+    hit = hit.dropDuplicates(["blob", "no"]).select("blob", F.transform("spans", lambda s: F.struct(s["start"], F.col("no").alias("kind_no"), s["end"])).cast(SPAN).alias("spans"))
+    hit = hit.groupBy(F.col("blob").alias("_of")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"))
+    paths = docs.withColumn("_blob", blob_of(F.col(text_col))).join(hit, F.col("_blob") == F.col("_of"), "left").drop("_of")
+    return paths.withColumn("_spans", F.coalesce("_spans", F.array().cast(SPAN)))
+
+
+def _scanned(docs: DataFrame, ledger: Ledger | DataFrame | None, rules: tuple[Rule, ...], text_col: str) -> DataFrame:
+    """Ledger rows of all blobs of docs, after a scan of the unseen pairs. They are kept in the given
+    ledger, without one in a ledger of this run; rows given as a table are not added to."""
+    if isinstance(ledger, DataFrame):
+        return ledger.unionByName(update_ledger(docs, ledger, rules, text_col))
+    ledger = ledger or Ledger(docs.sparkSession, f"{Staging(docs.sparkSession).root}/ledger")
+    return ledger.scan(docs, rules, text_col)
+
+
+def findings(docs: DataFrame, ledger: Ledger | DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, blob, spans array) for every path. Unseen pairs are scanned into the ledger first."""
+    rows = _scanned(docs, ledger, rules, text_col)
+    lean = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _joined(lean, rows, rules, "text").select("doc_id", F.col("_blob").alias("blob"), F.col("_spans").alias("spans"))
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = 3) -> DataFrame:
@@ -141,10 +182,14 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = 3) ->
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = HIDING) -> DataFrame:
-    """docs with secrets replaced by a mark; other columns, and texts without secrets, stay."""
-    each = F.array_sort(F.concat(*[spans_of(F.col(text_col), r, i) for i, r in enumerate(rules)]))
-    text = F.col(text_col)
+def redact(docs: DataFrame, ledger: Ledger | DataFrame | None = None, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = HIDING) -> DataFrame:
+    """docs with secrets replaced by a mark; other columns, and texts without secrets, stay.
+
+    Spans come from the ledger by blob, so equal texts are scanned once. Overlapping spans give one
+    mark. Null texts stay null.
+    """
+    rows = _scanned(docs, ledger, rules, text_col)
+    found, text = _joined(docs, rows, rules, text_col), F.col(text_col)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -152,6 +197,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         gap = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], gap, F.lit(mark))).otherwise(a["out"]).alias("out"))
 
-    cleaned = F.aggregate(each, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    any_hit = text.rlike("|".join(f"(?:{_lengthened(r)})" for r in rules))
-    return docs.withColumn(text_col, F.when(any_hit, cleaned).otherwise(text))
+    cleaned = F.aggregate("_spans", zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size("_spans") > 0, cleaned).otherwise(text)).select(*docs.columns)

@@ -3,24 +3,29 @@
 Training rows are the URLs that a rule decides; the bound TRAIN_ROWS takes those with the least
 hash. Trees are fitted by Spark's own GBTClassifier and applied as one SQL expression of nested
 CASE branches, so that scoring stays in generated code. Statistics of host suffixes are counts
-over all pages.
+over all pages; the share of blocked URLs of a suffix that a training row sees comes from the other
+FOLDS - 1 folds, so no row sees its own label.
 
 A null URL, or one without `://`, has an empty host and path, fits no rule and is scored like any
-other. With no labelled URL, or labels of one kind only, the verdict is that kind, or `allow`.
+other. With no labelled URL, or labels of one kind only, the verdict is that kind, or `allow`. Equal
+rows are judged alike; a score of one half blocks. URLs of any length are read whole. An empty table
+gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bound of the labelled rows that the trees are fitted on.
 TRAIN_ROWS = 20_000
-TREES, DEPTH = 15, 3
+TREES, DEPTH, FOLDS = 15, 3, 5
+#: Bound of the broadcast of suffix statistics; more suffixes are joined by a shuffle.
+SENT_ROWS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,7 +78,7 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "depth": count(path, "/[^/]"), "labels": count(host, r"\."), "digit_ratio": ratio(u, "[0-9]"), "path_digits": count(path, "[0-9]"),
         "entropy": entropy, "params": F.when(query == "", 0.0).otherwise(count(query, "&") + 1), "hyphens": count(u, "-"),
         "symbols": count(u, "[%_~=@]"), "tls": u.startswith("https:").cast("double"), "anchor": count(u, "#"),
-        "host_vowels": ratio(host, "[aeiou]"), "first_digit": F.coalesce(F.try_to_number(F.regexp_extract(path, "([0-9])", 1), F.lit("9")).cast("double"), F.lit(-1.0)),
+        "host_vowels": ratio(host, "[aeiou]"),
     }
 
 
@@ -86,6 +91,25 @@ def _tree(node, names: list[str]) -> Column:
     )
 
 
+def trees_score(model: GBTClassificationModel, names: list[str]) -> Column:
+    """The model's chance of label 1 as an expression on columns."""
+    margin = sum((w * _tree(t._call_java("rootNode"), names) for w, t in zip(model.treeWeights, model.trees, strict=True)), F.lit(0.0))
+    return 1 / (1 + F.exp(-2 * margin))
+
+
+def _with_suffixes(p: DataFrame) -> DataFrame:
+    """Adds suffix_n and suffix_block: how many pages a suffix has, and the share of blocked ones among
+    those that a rule decides, in the other folds for a row that a rule decides itself."""
+    blocked, ruled = F.col("ruled") == "block", F.col("ruled").isNotNull()
+    each = [F.array(*[F.count(F.when(c & (F.col("fold") == k), 1)) for k in range(FOLDS)]).alias(name) for name, c in (("b", blocked), ("r", ruled))]
+    stats = p.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_n"), *each)
+    if stats.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
+        stats = F.broadcast(stats)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) - F.when(ruled, F.get(c, F.col("fold"))).otherwise(F.lit(0))
+    share = (total(F.col("b")) + 1) / (total(F.col("r")) + 2)
+    return p.join(stats, "suffix").withColumn("suffix_block", share).drop("b", "r")
+
+
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each page; score is the trees' chance of block."""
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
@@ -93,12 +117,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     p = p.withColumn("host", host).withColumn("path", path)
     text, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     p = p.withColumn("rule", text).withColumn("ruled", verdict).withColumns(features(F.col("url"), F.col("host"), F.col("path")))
-    p = p.withColumn("suffix", F.substring_index("host", ".", -2))
-    stats = p.groupBy("suffix").agg(
-        F.log1p(F.count("*")).alias("suffix_n"),
-        ((F.count(F.when(F.col("ruled") == "block", 1)) + 1) / (F.count("ruled") + 2)).alias("suffix_block"),
-    )
-    p = p.join(stats, "suffix")
+    p = p.withColumn("suffix", F.substring_index("host", ".", -2)).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int"))
+    p = _with_suffixes(p)
     names = [*features(F.col("url"), F.col("host"), F.col("path")), "suffix_n", "suffix_block"]
     known = p.where("ruled is not null").select(*names, (F.col("ruled") == "block").cast("double").alias("label"), F.xxhash64("url", "page_id").alias("_o"))
     train = known.orderBy("_o").limit(TRAIN_ROWS).drop("_o").coalesce(2).cache()
@@ -107,8 +127,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
         score = F.lit(1.0 if 1.0 in kinds else 0.0)
     else:
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11, stepSize=0.3, maxBins=32).fit(VectorAssembler(inputCols=names, outputCol="features").transform(train))
-        margin = sum((w * _tree(t._call_java("rootNode"), names) for w, t in zip(model.treeWeights, model.trees, strict=True)), F.lit(0.0))
-        score = 1 / (1 + F.exp(-2 * margin))
+        score = trees_score(model, names)
     train.unpersist()
     p = p.withColumn("score", score)
     return p.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")

@@ -69,9 +69,34 @@ def test_ledger_scans_unseen_pairs_only(spark, tmp_path):
     assert {r[0] for r in secret_scan.update_ledger(old, ledger, later).select("kind").distinct().collect()} == {"hex"}
 
 
+def test_second_scan_of_a_kept_ledger_reads_nothing(spark, tmp_path):
+    ledger = secret_scan.Ledger(spark, f"file://{tmp_path}/kept")
+    assert ledger.rows() is None
+    first = by_id(secret_scan.digest(secret_scan.findings(table(spark, SECRET_TEXTS[:6]), ledger)))
+    held = ledger.rows().count()
+    assert held == 4 * len({t or "" for t in SECRET_TEXTS[:6]})
+    again = secret_scan.unseen(table(spark, SECRET_TEXTS[:6]).select(secret_scan.blob_of(F.col("text")).alias("blob"), "text"), ledger.rows(), secret_scan.RULES)
+    assert again.count() == 0
+    assert by_id(secret_scan.digest(secret_scan.findings(table(spark, SECRET_TEXTS[:6]), ledger))) == first and ledger.rows().count() == held
+    grown = by_id(secret_scan.digest(secret_scan.findings(table(spark, SECRET_TEXTS), ledger)))
+    assert grown == by_id(secret_scan.digest(secret_scan.findings(table(spark, SECRET_TEXTS))))
+    assert ledger.rows().count() == 4 * len({t or "" for t in SECRET_TEXTS})
+    hidden = {r["doc_id"]: r["text"] for r in secret_scan.redact(table(spark, SECRET_TEXTS), ledger).collect()}
+    assert hidden == {r["doc_id"]: r["text"] for r in secret_scan.redact(table(spark, SECRET_TEXTS)).collect()}
+
+
+def test_secrets_of_empty_repeated_and_clashing_rows(spark):
+    assert secret_scan.findings(table(spark, [])).count() == 0 and secret_scan.redact(table(spark, [])).count() == 0
+    text = "token=abcdefghijkl"
+    docs = spark.createDataFrame([(1, text, "b", 7), (1, text, "b", 7), (None, text, "c", 8)], "doc_id long, text string, blob string, spans int")
+    assert [r["spans"] for r in secret_scan.digest(secret_scan.findings(docs)).collect()] == ["assign:0:18"] * 3
+    kept = secret_scan.redact(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"], r["blob"], r["spans"]) for r in kept.collect()) == [(0, "[SECRET]", "c", 8), (1, "[SECRET]", "b", 7), (1, "[SECRET]", "b", 7)]
+
+
 def test_secrets_are_redacted(spark):
     got = by_id(secret_scan.redact(table(spark, SECRET_TEXTS)))
-    assert got[3]["text"] == "[SECRET] é [SECRET]" or "abcdefghijkl" not in got[3]["text"]
+    assert got[3]["text"] == "[SECRET]' é [SECRET]"
     assert got[0]["text"] is None and got[2]["text"] == "no secret" and got[2]["path"] == "y"
     assert got[5]["text"] == SECRET_TEXTS[5]
 
@@ -344,6 +369,36 @@ def test_url_rules_and_trees(spark):
     assert [got[i]["verdict"] for i in (3, 4, 5, 6, 7)] == ["allow", "block", "allow", "block", "block"]
     assert all(r["verdict"] in ("allow", "block") for r in got.values())
     assert url_filter.judge(pages.limit(0)).count() == 0
+    twice = url_filter.judge(pages.union(pages)).groupBy("page_id", "host", "path", "rule", "verdict").count().collect()
+    assert len(twice) == len(urls) and {r["count"] for r in twice} == {2}
+
+
+def test_url_trees_as_expressions_are_the_fitted_model(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(4)
+    rows = [(i, f"http://h{rng.integers(0, 9)}.{'com' if i % 2 else 'org'}/{'a' * int(rng.integers(0, 40))}{rng.integers(0, 10**6)}") for i in range(400)]
+    rows += [(400, "http://x.y/" + "long" * 5000), (401, None), (402, "")]
+    urls = spark.createDataFrame(rows, "page_id long, url string")
+    host, path = url_filter.split_url(F.col("url"))
+    p = urls.withColumn("host", host).withColumn("path", path).withColumns(url_filter.features(F.col("url"), F.col("host"), F.col("path")))
+    names = list(url_filter.features(F.col("url"), F.col("host"), F.col("path")))
+    label = (((F.col("path_len") > 20) | (F.col("path_digits") > 5)) != (F.pmod(F.xxhash64("url"), F.lit(7)) == 0)).cast("double")
+    made = VectorAssembler(inputCols=names, outputCol="features").transform(p.withColumn("label", label))
+    model = GBTClassifier(maxIter=5, maxDepth=3, seed=1).fit(made)
+    both = model.transform(made).withColumn("score", url_filter.trees_score(model, names)).select("probability", "score").collect()
+    assert len({round(r["score"], 6) for r in both}) > 3
+    assert all(abs(r["probability"][1] - r["score"]) < 1e-9 for r in both)
+
+
+def test_url_labels_of_one_kind_and_own_labels(spark):
+    one = [(i, f"http://s{i}.com/en/{i}") for i in range(9)] + [(9, "http://other/x")]
+    pages = spark.createDataFrame(one, "page_id long, url string")
+    assert {r["verdict"] for r in url_filter.judge(pages).collect()} == {"block"}
+    p = spark.createDataFrame([("a", f, "block") for f in (0, 0, 1)] + [("a", 1, "allow"), ("a", 2, None), ("b", 3, "block")], "suffix string, fold int, ruled string")
+    got = sorted((r["suffix"], r["fold"], r["ruled"] or "", round(r["suffix_block"], 4)) for r in url_filter._with_suffixes(p).collect())
+    assert got == [("a", 0, "block", 0.5), ("a", 0, "block", 0.5), ("a", 1, "allow", 0.75), ("a", 1, "block", 0.75), ("a", 2, "", 0.6667), ("b", 3, "block", 0.5)]
 
 
 # quality rules
