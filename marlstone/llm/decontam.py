@@ -127,16 +127,24 @@ def _items(items: DataFrame, item_col: str, text_col: str, staging: Staging) ->
 
 
 def _gate(known: DataFrame) -> np.ndarray:
-    """Bits of the known shingles, at most GATE_WORDS words, some 16 bits for each."""
-    words = 1 << min(GATE_WORDS.bit_length() - 1, max(10, (known.count() // 4).bit_length()))
-    slot = F.pmod(F.col("hash"), F.lit(64 * words))
-    bits = known.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    """Two bits for each known shingle, in at most GATE_WORDS words, some 256 bits for each."""
+    words = 1 << min(GATE_WORDS.bit_length() - 1, max(10, (4 * known.count()).bit_length()))
+    slots = F.array(F.pmod("hash", F.lit(64 * words)), F.pmod(F.shiftrightunsigned("hash", 32), F.lit(64 * words)))
+    bits = known.select(F.explode(slots).alias("s")).select(F.shiftright("s", 6).alias("word"), F.col("s").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
     gate = np.zeros(words, dtype=np.int64)
     for r in bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toLocalIterator():
         gate[r["word"]] = r["bits"]
     return gate.view(np.uint64)
 
 
+def _passes(gate: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the table knows; a few others pass by chance."""
+    ok = np.ones(len(hashes), dtype=bool)
+    for slot in (hashes & np.uint64(64 * len(gate) - 1), (hashes >> np.uint64(32)) & np.uint64(64 * len(gate) - 1)):
+        ok &= ((gate[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+    return ok
+
+
 def _runs(docs: DataFrame, gate: np.ndarray, longest: dict[int, int], id_col: str, text_col: str) -> DataFrame:
     """(row, doc_id, mark, width, start, hashes, hits): runs around the places of known shingles."""
     text = F.col(text_col)
@@ -144,7 +152,6 @@ def _runs(docs: DataFrame, gate: np.ndarray, longest: dict[int, int], id_col: st
     lean = lean.where(F.col("text").isNotNull())
     kind = lean.schema["doc_id"].dataType.simpleString()
     bits = docs.sparkSession.sparkContext.broadcast(gate)
-    mask = np.uint64(64 * len(gate) - 1)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out = []
@@ -154,8 +161,7 @@ def _runs(docs: DataFrame, gate: np.ndarray, longest: dict[int, int], id_col: st
                 if len(words) < width:
                     continue
                 hashes = shingle_hashes(words, width)
-                slot = hashes & mask
-                hits = np.flatnonzero((bits.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+                hits = np.flatnonzero(_passes(bits.value, hashes))
                 if not len(hits):
                     continue
                 last = max(len(hashes) - size, 0)  # of the starts of windows
