@@ -5,9 +5,12 @@ from __future__ import annotations
 import html
 import quopri
 import re
+import unicodedata
 from email.header import decode_header, make_header
+from functools import cache, lru_cache
 from urllib.robotparser import RobotFileParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,24 +98,34 @@ def closeness(window: str, pattern: str) -> float:
     return got / (n * n)
 
 
-def approximate(text: Column, pattern: str, percent: int = 80) -> Column:
-    """Best closeness, in percent, of any part as long as the pattern; null below `percent`."""
-    wanted = pattern.lower()
+def best_closeness(text: str | None, pattern: str, percent: int) -> int | None:
+    """Best closeness, in percent, of any part as long as the pattern; null below `percent`.
 
+    For each character of the pattern, its best place in every part at once: parts start where one
+    of its characters stands.
+    """
+    if not text:
+        return None
+    wanted, low = pattern.lower(), text.lower()
+    n = len(wanted)
+    codes = np.frombuffer(low.encode("utf-32-le"), dtype=np.uint32)
+    padded = np.concatenate([codes, np.zeros(n, dtype=np.uint32)])
+    letters = np.frombuffer(wanted.encode("utf-32-le"), dtype=np.uint32)
+    starts = np.flatnonzero(np.isin(codes[: max(1, len(low) - n + 1)], letters))
+    total = np.zeros(len(starts), dtype=np.int64)
+    for i, c in enumerate(letters):
+        best = np.zeros(len(starts), dtype=np.int64)
+        for j in range(n):
+            np.maximum(best, np.where(padded[starts + j] == c, n - abs(j - i), 0), out=best)
+        total += best
+    top = int(total.max(initial=0) / (n * n) * 100)
+    return top if top >= percent else None
+
+
+def approximate(text: Column, pattern: str, percent: int = 90) -> Column:
     @F.pandas_udf("int")
     def run(s: pd.Series) -> pd.Series:
-        n, letters = len(wanted), set(wanted)
-
-        def one(t: str | None) -> int | None:
-            if not t:
-                return None
-            t, best = t.lower(), 0.0
-            for i in range(max(1, len(t) - n + 1)):
-                if t[i] in letters:
-                    best = max(best, closeness(t[i : i + n], wanted))
-            return int(best * 100) if best * 100 >= percent else None
-
-        return pd.Series([one(t) for t in s], dtype="Int32")
+        return pd.Series([best_closeness(t, pattern, percent) for t in s], dtype="Int32")
 
     return run(text)
 
@@ -179,20 +192,63 @@ def numeric_match(text: Column, query: str) -> Column:
     return run(text)
 
 
+def register(spark) -> None:
+    """approximate(text, pattern, percent) and numeric_match(text, query) for SQL."""
+    if spark.catalog.functionExists("numeric_match"):
+        return
+
+    @F.pandas_udf("int")
+    def near(texts: pd.Series, patterns: pd.Series, percents: pd.Series) -> pd.Series:
+        return pd.Series([best_closeness(t, p, int(n)) for t, p, n in zip(texts, patterns, percents, strict=True)], dtype="Int32")
+
+    @F.pandas_udf("boolean")
+    def number(texts: pd.Series, queries: pd.Series) -> pd.Series:
+        test = lru_cache(maxsize=64)(numeric_test)
+        return pd.Series([t is not None and any(map(test(q), numbers_in(t))) for t, q in zip(texts, queries, strict=True)])
+
+    spark.udf.register("approximate", near)
+    spark.udf.register("numeric_match", number)
+
+
 # Suffixes that stemming strips, longest first.
 SUFFIXES = ("ization", "ational", "fulness", "ousness", "iveness", "ingly", "edly", "ments", "ment", "ness", "tion", "ing", "ies", "ed", "es", "ly", "er", "s")
 
 
+def stem_pattern(least: int = 3) -> str:
+    return rf"^(.{{{least},}}?)(?:{'|'.join(SUFFIXES)})$"
+
+
 def stem(word: Column, least: int = 3) -> Column:
     """The word without its first fitting suffix, unless fewer than `least` letters would stay."""
-    return F.regexp_replace(word, rf"^(.{{{least},}}?)(?:{'|'.join(SUFFIXES)})$", "$1")
+    return F.regexp_replace(word, stem_pattern(least), "$1")
+
+
+def stem_word(word: str, least: int = 3) -> str:
+    """As stem, for one word of a query."""
+    return re.sub(stem_pattern(least), r"\1", word)
+
+
+@cache
+def folding() -> dict[int, str | None]:
+    """Latin, Greek and Cyrillic letters with marks by the letter without; marks of their own go."""
+    out: dict[int, str | None] = {}
+    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        base = unicodedata.normalize("NFD", chr(code))[0]
+        if base != chr(code) and len(base.lower()) == 1:
+            out[code] = base.lower()
+    return out | dict.fromkeys(range(0x300, 0x370))
+
+
+def folding_pair() -> tuple[str, str]:
+    """What translate takes: letters with marks, and then marks, by letters without."""
+    letters = {chr(k): v for k, v in folding().items() if v}
+    marks = "".join(chr(k) for k, v in folding().items() if not v)
+    return "".join(letters) + marks, "".join(letters.values())
 
 
 def fold(text: Column) -> Column:
     """Lower case without diacritics."""
-    marked = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.translate(F.lower(text), marked, plain)
+    return F.translate(F.lower(text), *folding_pair())
 
 
 def url_parts(url: Column) -> dict[str, Column]:
@@ -229,12 +285,13 @@ def decode_words(text: Column) -> Column:
 def robots_allowed(agent: str, robots: Column, url: Column) -> Column:
     @F.pandas_udf("boolean")
     def run(r: pd.Series, u: pd.Series) -> pd.Series:
-        def one(text: str | None, x: str | None) -> bool:
+        @lru_cache(maxsize=256)
+        def parsed(text: str) -> RobotFileParser:
             parser = RobotFileParser()
-            parser.parse((text or "").splitlines())
-            return parser.can_fetch(agent, x or "/")
+            parser.parse(text.splitlines())
+            return parser
 
-        return pd.Series([one(a, b) for a, b in zip(r, u, strict=True)])
+        return pd.Series([parsed(a or "").can_fetch(agent, b or "/") for a, b in zip(r, u, strict=True)])
 
     return run(robots, url)
 

@@ -15,50 +15,54 @@ _WORDS = "regexp_extract_all(lower(text), '[a-z'']+')"
 _FLAT = f"concat(' ', array_to_string({_WORDS}, ' '), ' ')"
 
 
+#: Words of ASCII letters, as the SQL here has them.
+ASCII = search.Words(search.ASCII)
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", "text")
 
 
+def _found(docs: DataFrame, q: search.Query) -> DataFrame:
+    """Keys of matching documents from the postings of the query's words."""
+    return search.match_index(search.postings(docs, "doc_id", "text", ASCII, q), q, "doc_id", docs.where("text is not null"))
+
+
 @query(f"SELECT w AS term, count(*) AS n, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) GROUP BY w")
 def term_counts(spark: SparkSession, d: str) -> DataFrame:
-    per = search.postings(_docs(spark, d), "doc_id", "text").groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    per = search.postings(_docs(spark, d), "doc_id", "text", ASCII).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
     return per.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains({_FLAT}, ' shan ') AND contains({_FLAT}, ' hath ')")
 def text_match_all(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    return docs.where(search.match_scan(F.col("text"), search.parse("shan hath"))).select("doc_id")
+    return docs.where(search.match_scan(F.col("text"), search.parse("shan hath", words=ASCII))).select("doc_id")
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains({_FLAT}, ' shan ') AND contains({_FLAT}, ' hath ') AND NOT contains({_FLAT}, ' oration ')")
 def text_match_index(spark: SparkSession, d: str) -> DataFrame:
-    index = search.postings(_docs(spark, d), "doc_id", "text")
-    return search.match_index(index, search.parse("shan hath -oration"), "doc_id")
+    return _found(_docs(spark, d), search.parse("shan hath -oration", words=ASCII))
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains({_FLAT}, ' idiot ') OR contains({_FLAT}, ' scum ') OR contains({_FLAT}, ' licensed ')")
 def text_match_any(spark: SparkSession, d: str) -> DataFrame:
-    index = search.postings(_docs(spark, d), "doc_id", "text")
-    return search.match_index(index, search.parse("(idiot,scum,licensed)"), "doc_id")
+    return _found(_docs(spark, d), search.parse("(idiot,scum,licensed)", words=ASCII))
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains({_FLAT}, ' idiot ')::INT + contains({_FLAT}, ' scum ')::INT + contains({_FLAT}, ' pathetic ')::INT >= 2")
 def text_match_sets(spark: SparkSession, d: str) -> DataFrame:
-    index = search.postings(_docs(spark, d), "doc_id", "text")
-    return search.match_index(index, search.parse("idiot scum pathetic @1"), "doc_id")
+    return _found(_docs(spark, d), search.parse("idiot scum pathetic @1", words=ASCII))
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains({_FLAT}, ' idiot ') OR contains({_FLAT}, ' moron ') OR contains({_FLAT}, ' all rights reserved ')")
 def text_synonyms(spark: SparkSession, d: str) -> DataFrame:
-    index = search.postings(_docs(spark, d), "doc_id", "text")
-    return search.match_index(index, search.parse("~idiot", {"idiot": ["moron", "all rights reserved"]}), "doc_id")
+    return _found(_docs(spark, d), search.parse("~idiot", {"idiot": ["moron", "all rights reserved"]}, words=ASCII))
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains({_FLAT}, ' apache license version ')")
 def phrase_match(spark: SparkSession, d: str) -> DataFrame:
-    index = search.postings(_docs(spark, d), "doc_id", "text")
-    return search.match_index(index, search.parse("apache-license-version"), "doc_id")
+    return _found(_docs(spark, d), search.parse("apache-license-version", words=ASCII))
 
 
 @query(f"""WITH p AS (SELECT doc_id, unnest({_WORDS}) AS term, generate_subscripts({_WORDS}, 1) - 1 AS pos FROM documents),
@@ -67,8 +71,9 @@ f AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(DIST
 s AS (SELECT doc_id, sum(ln(1 + n_docs / df) * (1 + 0.5 * ln(1 + tf) + 0.5 / (1 + first))) + (count(*) - 1.0) / (1 + max(first) - min(first)) AS score FROM t JOIN f USING (term), n GROUP BY doc_id)
 SELECT doc_id, round(score, 6) AS score FROM s ORDER BY 2 DESC, 1 LIMIT 20""")
 def doc_freq_rank(spark: SparkSession, d: str) -> DataFrame:
-    index = search.postings(_docs(spark, d), "doc_id", "text")
-    return search.ranked(index, search.parse("license apache shan"), "doc_id", 20)
+    q = search.parse("license apache shan", words=ASCII)
+    n = _docs(spark, d).where(F.col("text").rlike(f"(?i){search.ASCII}")).agg(F.count("*").alias("n_docs"))
+    return search.ranked(search.postings(_docs(spark, d), "doc_id", "text", ASCII, q), q, "doc_id", 20, n_docs=n)
 
 
 @query("SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(lower(text), i::INT, 3))) AS gram FROM documents WHERE length(text) >= 3) GROUP BY 1, 2")
@@ -84,7 +89,7 @@ def trigram_language(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hit_spans(spark: SparkSession, d: str) -> DataFrame:
-    q = search.parse("(license,licensed) reserved @0")
+    q = search.parse("(license,licensed) reserved @0", words=ASCII)
     s = search.spans(F.col("text"), q)
     return _docs(spark, d).select("doc_id", s.alias("s")).where(F.size("s") > 0).select("doc_id", F.to_json("s").alias("spans"), F.size("s").alias("n_hits"))
 
@@ -93,7 +98,7 @@ def hit_spans(spark: SparkSession, d: str) -> DataFrame:
 d AS (SELECT doc_id, list_distinct({_WORDS}) AS ws FROM documents) SELECT item_id, doc_id FROM q, d WHERE len(q.ws) > 0 AND list_has_all(d.ws, q.ws)""")
 def text_join(spark: SparkSession, d: str) -> DataFrame:
     q = load(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
-    return search.text_join(_docs(spark, d), "doc_id", "text", q, "item_id", "q")
+    return search.text_join(_docs(spark, d), "doc_id", "text", q, "item_id", "q", ASCII)
 
 
 @query()
@@ -142,12 +147,12 @@ def sequence_numbers(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id FROM documents WHERE contains(concat(' ', array_to_string(regexp_extract_all(lower(concat_ws(' ', lang, text)), '[a-z'']+'), ' '), ' '), ' fr licensed ') OR (lang = 'en' AND contains({_FLAT}, ' scum '))")
 def virtual_field(spark: SparkSession, d: str) -> DataFrame:
     """Two columns searched as one text."""
-    both = F.concat_ws(" ", "lang", "text")
+    both = "concat_ws(' ', lang, text)"
     docs = load(spark, d, "documents").select("doc_id", "lang", "text")
-    hit = search.match_scan(both, search.parse('"fr licensed"')) | ((F.col("lang") == "en") & search.match_scan(F.col("text"), search.parse("scum")))
+    hit = search.match_scan(both, search.parse('"fr licensed"', words=ASCII)) | ((F.col("lang") == "en") & search.match_scan(F.col("text"), search.parse("scum", words=ASCII)))
     return docs.where(hit).select("doc_id")
 
 
 @query()
 def text_within(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).where(search.match_scan(F.col("text"), search.parse("apache version w/4"))).select("doc_id")
+    return _docs(spark, d).where(search.match_scan(F.col("text"), search.parse("apache version w/4", words=ASCII))).select("doc_id")

@@ -64,14 +64,11 @@ class Bus:
 def index_stream(docs: DataFrame, index: TextIndex, checkpoint: str, optimize_over: int = 1000) -> StreamingQuery:
     """Adds new rows to a text index's delta and merges it past a number of new rows.
 
-    A batch that runs again after a failure is recognised by its number and left out.
+    A batch that runs again after a failure or a restart replaces itself: the index keeps numbers.
     """
-    done: set[int] = set()
 
     def batch(rows: DataFrame, number: int) -> None:
-        if number not in done:
-            index.add(rows)
-            index.optimize(optimize_over)
-            done.add(number)
+        index.add(rows, number)
+        index.optimize(optimize_over)
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
