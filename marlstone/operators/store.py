@@ -35,12 +35,22 @@ class Store:
             found.close()
 
     def _put(self, name: str, text: str, overwrite: bool) -> None:
+        self.put_bytes(name, text.encode(), overwrite)
+
+    def put_bytes(self, name: str, data: bytes, overwrite: bool = False) -> None:
         out = self.fs.create(self._path(name), overwrite)
         try:
-            out.write(bytearray(text.encode()))
+            out.write(bytearray(data))
         finally:
             out.close()
 
+    def get_bytes(self, name: str) -> bytes:
+        found = self.fs.open(self._path(name))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(found))
+        finally:
+            found.close()
+
     def write(self, name: str, text: str) -> None:
         """Replaces a file by a rename, so that readers see the old text or the new one."""
         new = f".{name}.{uuid.uuid4().hex}"
