@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import functional, relational, textual  # noqa: F401  (they register their queries)
+from . import functional, relational, statements, textual  # noqa: F401  (they register their queries)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

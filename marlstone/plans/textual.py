@@ -101,7 +101,10 @@ def text_join(spark: SparkSession, d: str) -> DataFrame:
     return search.text_join(_docs(spark, d), "doc_id", "text", q, "item_id", "q", ASCII)
 
 
-@query()
+@query(f"""WITH v AS (SELECT w AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) GROUP BY w),
+p AS (SELECT q.word, term, df, levenshtein(q.word, term) AS edits FROM v, (VALUES ('licensse'), ('versoin'), ('underr')) AS q(word)),
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY edits, df DESC, term) AS n FROM p WHERE edits BETWEEN 1 AND 2)
+SELECT word, term AS suggestion, edits::INT AS edits FROM r WHERE n = 1""")
 def suggestions(spark: SparkSession, d: str) -> DataFrame:
     vocabulary = term_counts(spark, d).select("term", "df")
     words = spark.createDataFrame([("licensse",), ("versoin",), ("underr",)], "word string")
@@ -153,6 +156,35 @@ def virtual_field(spark: SparkSession, d: str) -> DataFrame:
     return docs.where(hit).select("doc_id")
 
 
-@query()
+@query(f"""SELECT doc_id FROM (SELECT doc_id, {_WORDS} AS ws FROM documents)
+WHERE len(list_filter(range(1, len(ws) + 1), lambda i: list_contains(ws[i:i + 3], 'apache') AND list_contains(ws[i:i + 3], 'version'))) > 0""")
 def text_within(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where(search.match_scan(F.col("text"), search.parse("apache version w/4", words=ASCII))).select("doc_id")
+
+
+_LETTERS = "regexp_extract_all(lower(text), '[\\p{L}'']+')"
+_ALL = f"concat(' ', array_to_string({_LETTERS}, ' '), ' ')"
+
+
+@query(f"SELECT doc_id FROM documents WHERE text IS NOT NULL AND NOT contains({_ALL}, ' license ') AND NOT contains({_ALL}, ' der ')")
+def text_without(spark: SparkSession, d: str) -> DataFrame:
+    """Exclusions alone, from an index over words of any script."""
+    q = search.parse("-license -der")
+    docs = _docs(spark, d)
+    return search.match_index(search.postings(docs, "doc_id", "text", only=q), q, "doc_id", docs.where("text is not null"))
+
+
+@query(f"""SELECT doc_id FROM (SELECT doc_id, {_LETTERS} AS ws FROM documents)
+WHERE len(list_filter(range(1, len(ws) + 1), lambda i: list_contains(ws[i:i + 5], 'años') OR (list_contains(ws[i:i + 5], 'license') AND list_contains(ws[i:i + 5], 'under')))) > 0""")
+def text_near_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words within six of each other, from an index; the scan and the index must agree."""
+    docs, q = _docs(spark, d), search.parse("license under w/6")
+    found = search.match_index(search.postings(docs, "doc_id", "text", only=q), q, "doc_id")
+    return found.union(docs.where(search.match_scan("text", search.parse("años"))).select("doc_id")).distinct()
+
+
+@query(f"SELECT doc_id FROM documents WHERE len(list_filter({_LETTERS}, lambda w: starts_with(w, 'licen'))) > 0 AND len(list_filter({_LETTERS}, lambda w: ends_with(w, 'ción'))) = 0")
+def text_wildcards(spark: SparkSession, d: str) -> DataFrame:
+    docs, q = _docs(spark, d), search.parse("licen* -*ción")
+    return search.match_index(search.postings(docs, "doc_id", "text", only=q), q, "doc_id")
+
