@@ -7,7 +7,8 @@ hashes of the id); the last fifth of the sample sets the temperature that scales
 
 A null text, or one without a letter, is `und` with score 0, as is every text when there is no
 labelled row. Ties go to the language that sorts first. Repeated rows are judged alike; columns
-other than id and text are not read for a prediction.
+other than id and text are not read for a prediction. Texts of any length are counted whole. An empty
+table gives no rows; rows without id are judged, and are never among the held-out ones.
 """
 
 from __future__ import annotations

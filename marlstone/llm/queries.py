@@ -95,5 +95,6 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR word_chars < 2 * n OR word_chars > 25 * n OR 10 * n_symbols > n OR 10 * n_dup_lines > 3 * n_lines
 OR 2 * len(regexp_extract_all(t, '\p{{L}}')) < word_chars OR 10 * len(regexp_extract_all(t, '(?m)^[\x20\x09]*[-*•]')) > 9 * n_lines OR 10 * len(regexp_extract_all(t, '(?m)(?:\.\.\.|…)[\x20\x09]*$')) > 3 * n_lines) AS kept FROM b"""
 
-#: The others train a model, permute by hashes, or need a tokenizer: they are tested against brute force.
+#: The others train a model, permute by hashes, or need a tokenizer. They are tested against brute force (op3, op4, op7),
+#: the tokenizers library (op9), the fitted model row by row (op5), or by held-out accuracy (op8, op10).
 ORACLE: dict[str, str] = {"op1_secret_scans": _spans_sql(), "op2_jaccard_join": _JACCARD_SQL, "op6_quality_rules": _QUALITY_SQL}

@@ -1,12 +1,14 @@
 """Shards from a Feistel permutation of global row numbers.
 
-Rows are numbered 0..N-1 in the order of (bucket of the id's hash, id, checksum, size). A keyed
+Rows are numbered 0..N-1 in the order of (bucket of a hash of the row, id, checksum, size). A keyed
 Feistel network permutes the next power of four; values of N and more walk along their cycle
 until they fall below N, so the result is a permutation of 0..N-1. Position p then lies in shard
 p mod S at slot p div S: shard sizes differ by one at most, and both ways are computable.
 
-Nulls: a null text counts as no bytes, a null id is numbered like any other. Repeated rows get
-one number each. An empty table gives no rows.
+Nulls: a null text counts as no bytes, a null id is numbered like any other, and many of them are
+spread over the buckets by their texts. Repeated rows get one number each, so equal rows are the only
+ones that meet in a bucket. Texts of any length count in full; only their size and checksum are moved.
+An empty table gives no rows. Columns other than id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -58,9 +60,9 @@ def row_at(shard: int, slot: int, shards: int, n: int, seed: int = 0) -> int:
     return int(permute(np.array([slot * shards + shard]), n, seed, back=True)[0])
 
 
-def number_rows(docs: DataFrame, order: list[str], bucket_of: str, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
+def number_rows(docs: DataFrame, order: list[str], bucket_of: list[str], buckets: int = BUCKETS) -> tuple[DataFrame, int]:
     """docs with `row_no` 0..N-1, and N; only one count for each bucket reaches the driver."""
-    bucket = F.pmod(F.xxhash64(bucket_of), F.lit(buckets)).cast("int").alias("bucket")
+    bucket = F.pmod(F.xxhash64(*bucket_of), F.lit(buckets)).cast("int").alias("bucket")
     counts = {r[0]: r[1] for r in docs.select(bucket).groupBy("bucket").count().collect()}
     start, at = [], 0
     for b in range(buckets):
@@ -78,7 +80,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 7, id_col: str = "
     lean = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    numbered, n = number_rows(lean, ["doc_id", "text_crc32", "size"], "doc_id")
+    numbered, n = number_rows(lean, ["doc_id", "text_crc32", "size"], ["doc_id", "text_crc32", "size"])
 
     @F.pandas_udf("long")
     def position(rows: pd.Series) -> pd.Series:

@@ -19,7 +19,8 @@ regression on the sample.
 
 A null or empty text has no segment and gets the chance of that. With no labels, or labels of one
 kind, every score is the smoothed base rate. Several labels of an id count as toxic if one is.
-Repeated rows are scored alike; other columns are not read.
+Repeated rows are scored alike; other columns are not read. Texts of any length are scanned whole. An
+empty table gives no rows; rows without id are scored, and are never among the held-out ones.
 """
 
 from __future__ import annotations
