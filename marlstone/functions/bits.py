@@ -90,20 +90,25 @@ def bit_clear(a: Column, n: Column) -> Column:
     return F.transform(_pad(a, n), lambda x, i: F.when(i == F.floor(n / 32), x.bitwiseAND(F.lit(MASK) - _one(n))).otherwise(x))
 
 
-def _from_bits(bits: Column, words: Column) -> Column:
-    """Array of words from bit numbers; those outside are dropped."""
-    return F.transform(
-        F.sequence(F.lit(0), words - 1),
-        lambda w: F.aggregate(
-            F.filter(bits, lambda b: (b >= w * 32) & (b < w * 32 + 32)), F.lit(0).cast("long"), lambda s, b: s + _one(b)
-        ),
-    )
+def _moved(a: Column, n: Column, at) -> Column:
+    """Each word from the two that a shift by n puts into it; at gives the place a word comes from."""
+    n = n.cast("long")
+    words, rest = F.floor(n / 32), F.pmod(n, F.lit(32)).cast("int")
+
+    def word(i: Column) -> Column:
+        return F.coalesce(F.get(a, at(i).cast("int")), F.lit(0).cast("long"))
+
+    def one(_: Column, i: Column) -> Column:
+        low = F.call_function("shiftleft", word(i - words), rest)
+        high = F.call_function("shiftright", word(i - words - 1), F.lit(32) - rest)
+        return low.bitwiseOR(high).bitwiseAND(F.lit(MASK))
+
+    return F.transform(a, one)
 
 
 def bit_shift_left(a: Column, n: Column) -> Column:
     """Unsigned shift across the whole array; a negative count shifts right."""
-    moved = F.transform(F.filter(bit_list(a), lambda b: b >= 0), lambda b: b + n)
-    return _from_bits(moved, F.size(a))
+    return _moved(a, n, lambda i: i)
 
 
 def bit_shift_right(a: Column, n: Column) -> Column:
@@ -112,8 +117,7 @@ def bit_shift_right(a: Column, n: Column) -> Column:
 
 def bit_rotate_left(a: Column, n: Column) -> Column:
     """Rotation across the whole array."""
-    moved = F.transform(F.filter(bit_list(a), lambda b: b >= 0), lambda b: F.pmod(b + n, F.size(a) * 32))
-    return _from_bits(moved, F.size(a))
+    return _moved(a, n, lambda i: F.pmod(i, F.size(a)))
 
 
 def bit_rotate_right(a: Column, n: Column) -> Column:

@@ -45,34 +45,43 @@ def nearest(rows: DataFrame, query: list[float], k: int, vector: str, key: str,
 
 
 def nearest_each(rows: DataFrame, queries: DataFrame, k: int, vector: str, key: str, metric: str = "dot", block: int = 1000) -> DataFrame:
-    """The k nearest rows of each query (query_id, q), as (query_id, key, distance).
+    """The k nearest rows of each query (query_id, q), as (query_id, place, key, distance); ties by key.
 
-    Queries are a stated set, taken in blocks that are sent to all tasks; each Arrow batch is one
-    matrix product and leaves at most k rows a query.
+    Queries are a stated set: about `block` of them at a time are fetched and sent to all tasks, which
+    multiply their rows with them batch by batch and each let out at most k rows a query.
     """
     spark, out = rows.sparkSession, None
-    found = queries.select("query_id", "q").orderBy("query_id").collect()
-    for at in range(0, len(found), block):
-        ids = np.array([r["query_id"] for r in found[at : at + block]])
-        matrix = np.array([r["q"] for r in found[at : at + block]], dtype=np.float64)
+    blocks = max(1, -(-queries.count() // block))
+    for b in range(blocks):
+        found = list(queries.select("query_id", "q").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toLocalIterator())
+        ids = np.array([r["query_id"] for r in found])
+        matrix = np.array([r["q"] for r in found], dtype=np.float64)
         shared = spark.sparkContext.broadcast((ids, matrix))
 
         def top(parts, shared=shared):
             ids, matrix = shared.value
+            keys: list = [[] for _ in ids]
+            far: list = [np.zeros(0) for _ in ids]
             for part in parts:
-                m = np.stack(part[vector].to_numpy()).astype(np.float64)
+                if not len(ids) or not len(part):
+                    continue
+                m, own = np.stack(part[vector].to_numpy()).astype(np.float64), part[key].to_numpy()
                 if metric == "dot":
                     d = -(m @ matrix.T)
                 elif metric == "cosine":
                     d = 1 - (m @ matrix.T) / (np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(matrix, axis=1))
                 else:
                     d = (m**2).sum(1)[:, None] - 2 * m @ matrix.T + (matrix**2).sum(1)
-                best = np.argsort(d, axis=0, kind="stable")[:k]
+                edge = np.partition(d, k - 1, axis=0)[k - 1] if k < len(d) else np.full(len(ids), np.inf)
                 for j in range(len(ids)):
-                    pick = best[:, j]
-                    yield pd.DataFrame({"query_id": ids[j], key: part[key].to_numpy()[pick], "d": d[pick, j]})
-
-        one = rows.select(key, vector).mapInPandas(top, f"query_id long, {key} long, d double")
+                    pick = np.flatnonzero(d[:, j] <= edge[j])  # with all ties of the k-th
+                    near, who = np.concatenate([far[j], d[pick, j]]), np.concatenate([keys[j], own[pick]]) if len(keys[j]) else own[pick]
+                    best = np.lexsort((who, near))[:k]
+                    far[j], keys[j] = near[best], who[best]
+            if any(len(x) for x in far):
+                yield pd.DataFrame({"query_id": np.repeat(ids, [len(x) for x in far]), key: np.concatenate([x for x in keys if len(x)]), "d": np.concatenate(far)})
+
+        one = rows.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(top, f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(rows.dtypes)[key]}, d double")
         out = one if out is None else out.union(one)
     w = Window.partitionBy("query_id").orderBy("d", key)
     sign = -1.0 if metric == "dot" else 1.0

@@ -126,3 +126,38 @@ def test_index_delta_and_optimize(spark, tmp_path):
 def test_thesaurus_levels(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "c")], "term string, equiv string")
     assert [search.closure(pairs, level).count() for level in (1, 2, 3)] == [2, 4, 6]
+
+
+def test_shifts_and_rotations_of_words_and_arrays(spark):
+    import random
+
+    rng = random.Random(2)
+    cases = [([rng.randrange(1 << 32) for _ in range(k)], n) for k in (1, 2, 3) for n in (0, 1, 5, 31, 32, 33, 40, 64, 95, 96, 200, -1, -31, -32, -45, -200)]
+    df = spark.createDataFrame([(i, a, n) for i, (a, n) in enumerate(cases)], "i int, a array<bigint>, n int")
+    a, n = F.col("a"), F.col("n")
+    got = {r[0]: r[1:] for r in df.select("i", bits.bit_shift_left(a, n), bits.bit_shift_right(a, n), bits.bit_rotate_left(a, n), bits.bit_rotate_right(a, n)).collect()}
+    for i, (words, by) in enumerate(cases):
+        size = 32 * len(words)
+        whole, mask = sum(w << 32 * j for j, w in enumerate(words)), (1 << size) - 1
+        left = lambda k: (whole << k if k >= 0 else whole >> -k) & mask
+        turn = lambda k: ((whole << k % size) | (whole >> (size - k % size))) & mask
+        cut = lambda v: [v >> 32 * j & 0xFFFFFFFF for j in range(len(words))]
+        assert [list(x) for x in got[i]] == [cut(left(by)), cut(left(-by)), cut(turn(by)), cut(turn(-by))], (words, by)
+
+
+def test_nearest_of_each_query_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    m = rng.integers(-3, 4, size=(300, 4)).astype(float)  # exact sums, so that ties are ties
+    m[100:130] = m[0]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>").repartition(5)
+    queries = spark.createDataFrame([(f"q{i}", m[i].tolist()) for i in range(0, 300, 10)], "query_id string, q array<double>")
+    for metric in ("dot", "l2sq"):
+        got = {}
+        for r in vectors.nearest_each(df, queries, 7, "v", "id", metric, block=8).collect():
+            got.setdefault(r["query_id"], []).append((r["place"], r["id"]))
+        for i in range(0, 300, 10):
+            d = -(m @ m[i]) if metric == "dot" else ((m - m[i]) ** 2).sum(1)
+            want = [x[1] for x in sorted((round(d[j], 9), j) for j in range(300))[:7]]
+            assert [x for _, x in sorted(got[f"q{i}"])] == want, (metric, i)
