@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as textfn
+from ..session import settled
 from .store import Store
 
 #: Characters of a word: letters of any script, or of ASCII alone.
@@ -365,10 +366,11 @@ def closure(pairs: DataFrame, level: int = 2) -> DataFrame:
     out = base.union(base.select(F.col("equiv").alias("term"), F.col("term").alias("equiv"))).where("term <> equiv").distinct()
     if level < 3:
         return out
+    out = settled(out)
     size = out.count()
     while True:  # paths double with each round
         step = out.select("term", F.col("equiv").alias("mid")).join(out.select(F.col("term").alias("mid"), "equiv"), "mid").select("term", "equiv")
-        out = out.union(step).where("term <> equiv").distinct()
+        out = settled(out.union(step).where("term <> equiv").distinct())
         if (now := out.count()) == size:
             return out
         size = now

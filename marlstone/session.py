@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -27,6 +29,19 @@ def build_session(name: str = "marlstone", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, written once to the folder that all executors share: cuts the lineage of loops."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table; the path may be on any store Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
